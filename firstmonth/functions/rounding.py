@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 10 and 100 as sums of powers of two; multiplying a double by each part is exact.
+# 10 and 100 as sums of powers of two: multiplying a double by such a part is exact.
 _POWER_PARTS = {1: (8.0, 2.0), 2: (64.0, 32.0, 4.0)}
 
 
@@ -23,26 +23,19 @@ def round_scaled(x: Column, digits: int) -> Column:
 def round_exact(x: Column, digits: int) -> Column:
     """Round the exact binary value of ``x`` half to even.
 
-    ``x * 10^digits`` itself is rounded, which can fake or hide a tie (2.675 * 100 gives 267.5, yet
-    2.675 is stored below it). Only when the product looks like a tie does its rounding error matter,
-    so the error is recovered by exact two-sums and decides the direction.
+    ``x * 10^digits`` itself is rounded, which can fake a tie (2.675 * 100 gives 267.5, yet 2.675 is
+    stored below it). Only then does the error of the product matter. Taking the exact parts of the
+    product away one by one is free of rounding, as each step subtracts numbers within a factor of two
+    of each other, and leaves that error.
     """
     scale = 10.0**digits
     product = x * scale
-    parts = [x * part for part in _POWER_PARTS[digits]]
-    total, error = parts[0], F.lit(0.0)
-    for part in parts[1:]:
-        new_total = total + part
-        carried = new_total - total
-        error = error + ((total - (new_total - carried)) + (part - carried))
-        total = new_total
-    below = (total - product) + error  # exact product minus rounded product
+    excess = product
+    for part in _POWER_PARTS[digits]:
+        excess = excess - x * part
     nearest = F.rint(product)
-    tie = F.abs(product - nearest) == 0.5
-    rounded = (
-        F.when(tie & (below > 0), product + 0.5).when(tie & (below < 0), product - 0.5).otherwise(nearest)
-    )
-    return rounded / scale
+    false_tie = (F.abs(product - nearest) == 0.5) & (excess != 0)
+    return F.when(false_tie, product - F.signum(excess) * 0.5).otherwise(nearest) / scale
 
 
 def percent_half_up(part: Column, whole: Column) -> Column:

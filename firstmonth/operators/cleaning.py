@@ -14,41 +14,45 @@ from firstmonth.operators.quality import deduplicate
 from firstmonth.sources.tables import Tables, conform
 
 
-def clean_tables(tables: Tables, day_zero: DayZero, dedupe: bool = True) -> Tables:
+def clean_tables(tables: Tables, day_zero: DayZero, ignore_keys: bool = False) -> Tables:
+    """All three tables. With ``ignore_keys`` rows that differ in their surrogate key only are copies."""
     return Tables(
-        clean_onboarding(tables.onboarding, day_zero, dedupe),
-        clean_tool_usage(tables.tool_usage, day_zero, dedupe),
-        clean_support_requests(tables.support_requests, day_zero, dedupe),
+        clean_onboarding(tables.onboarding, day_zero, ignore_keys),
+        clean_tool_usage(tables.tool_usage, day_zero, ignore_keys),
+        clean_support_requests(tables.support_requests, day_zero, ignore_keys),
     )
 
 
-def clean_onboarding(onboarding: DataFrame, day_zero: DayZero, dedupe: bool = True) -> DataFrame:
+def clean_onboarding(onboarding: DataFrame, day_zero: DayZero, ignore_keys: bool = False) -> DataFrame:
     """Adds joining_date, days_since_joining and duration_days (null until completed, negative if dirty)."""
-    rows = first_month(conform(onboarding, schemas.ONBOARDING), "start_date", day_zero, dedupe)
+    rows = first_month(onboarding, schemas.ONBOARDING, day_zero, ignore_keys)
     return rows.withColumn("duration_days", F.date_diff("completion_date", "start_date"))
 
 
-def clean_tool_usage(tool_usage: DataFrame, day_zero: DayZero, dedupe: bool = True) -> DataFrame:
+def clean_tool_usage(tool_usage: DataFrame, day_zero: DayZero, ignore_keys: bool = False) -> DataFrame:
     """Adds joining_date and days_since_joining."""
-    return first_month(conform(tool_usage, schemas.TOOL_USAGE), "usage_date", day_zero, dedupe)
+    return first_month(tool_usage, schemas.TOOL_USAGE, day_zero, ignore_keys)
 
 
-def clean_support_requests(support_requests: DataFrame, day_zero: DayZero, dedupe: bool = True) -> DataFrame:
+def clean_support_requests(
+    support_requests: DataFrame, day_zero: DayZero, ignore_keys: bool = False
+) -> DataFrame:
     """Adds joining_date and days_since_joining; resolution_time is 0 where missing, NaN or negative."""
-    rows = first_month(conform(support_requests, schemas.SUPPORT_REQUESTS), "request_date", day_zero, dedupe)
+    rows = first_month(support_requests, schemas.SUPPORT_REQUESTS, day_zero, ignore_keys)
     return rows.withColumn("resolution_time", hours_or_zero(F.col("resolution_time")))
 
 
-def first_month(df: DataFrame, date_column: str, day_zero: DayZero, dedupe: bool = True) -> DataFrame:
-    """Rows of Day 0 to Day 30, with joining_date and days_since_joining.
+def first_month(df: DataFrame, table: str, day_zero: DayZero, ignore_keys: bool = False) -> DataFrame:
+    """Distinct rows of Day 0 to Day 30, with joining_date and days_since_joining.
 
     Copies share employee and date, so cutting first and deduplicating the much smaller rest gives the
     same rows as the other order. Values are normalised after it, because different dirty values
     would otherwise become copies.
     """
-    days = F.date_diff(F.to_date(date_column), "joining_date")
-    parts = [part.filter(days.between(0, schemas.WINDOW_DAYS)) for part in day_zero.attach(df)]
-    if dedupe:
-        parts = [deduplicate(part) for part in parts]
+    df = conform(df, table)
+    ignored = [schemas.SURROGATE_KEYS[table]] if ignore_keys and table in schemas.SURROGATE_KEYS else []
+    days = F.date_diff(F.to_date(schemas.EVENT_DATE[table]), "joining_date")
+    in_month = days.between(0, schemas.WINDOW_DAYS)
+    parts = [deduplicate(part.filter(in_month), ignored) for part in day_zero.attach(df)]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(*df.columns, "joining_date", days.alias("days_since_joining"))

@@ -1,18 +1,11 @@
-"""Restricting the analysis to the employees seen at one onboarding stage."""
+"""The employees seen at one onboarding stage; ``DayZero.restricted_to`` cuts all tables to them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstmonth.sources.tables import Tables
-
 
 def stage_cohort(onboarding: DataFrame, stage: str) -> DataFrame:
     """Employees with at least one first-month row at the stage."""
     return onboarding.filter(F.col("onboarding_stage") == stage).select("employee_id").distinct()
-
-
-def filter_cohort(tables: Tables, employees: DataFrame) -> Tables:
-    """Rows of the given employees in all three tables."""
-    return Tables(*(df.join(employees, "employee_id", "left_semi") for _, df in tables.items()))

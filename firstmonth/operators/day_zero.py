@@ -23,7 +23,7 @@ from firstmonth.sources.tables import Tables
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 HEAVY_ROWS = 5_000_000
-_ROW_OVERHEAD = 96  # bytes a broadcast row needs besides its key
+_ROW_OVERHEAD = 128  # bytes a row of a broadcast hash table needs besides its key, which it holds twice
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def measure(
 ) -> DayZero:
     """Checkpoint a per-employee table and take its size in the same job."""
     shared_folder(frame.sparkSession)
-    row_bytes = F.octet_length("employee_id").cast("bigint") + _ROW_OVERHEAD
+    row_bytes = F.octet_length("employee_id").cast("bigint") * 2 + _ROW_OVERHEAD
     sizes = Observation()
     saved = frame.observe(
         sizes,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstmonth.functions.rounding import one_decimal, round_exact
+from firstmonth.functions.sums import exact, exact_total
 from firstmonth.operators.tools import per_tool_and_employee
 from firstmonth.sources.tables import Tables
 
@@ -128,16 +129,20 @@ def _failing_tools(tool_usage: DataFrame) -> DataFrame:
 
 
 def _support_categories(support_requests: DataFrame) -> DataFrame:
+    hours = F.col("resolution_time")
     per_employee = (
         support_requests.filter(F.col("request_category").isNotNull())
         .groupBy("request_category", "employee_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum("resolution_time").alias("hours"),
-            F.count("resolution_time").alias("timed"),
+            F.sum(exact(hours)).alias("exact_hours"),
+            F.sum(hours).alias("hours"),
+            F.max(hours).alias("most_hours"),
+            F.count(hours).alias("timed"),
         )
     )
-    mean = F.try_divide(F.sum("hours"), F.sum("timed"))
+    total = exact_total(F.col("exact_hours"), F.col("most_hours"), F.col("hours"))
+    mean = F.try_divide(total, F.sum("timed"))
     return per_employee.groupBy(F.col("request_category").alias("name")).agg(
         F.sum("n").alias("frequency"),
         F.count("employee_id").alias("affected_employees"),

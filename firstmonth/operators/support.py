@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firstmonth.functions.predicates import differs, first_by
 from firstmonth.functions.rounding import round_exact, round_scaled
+from firstmonth.functions.sums import exact, exact_mean, exact_total
 
 
 def support_category_summary(support_requests: DataFrame) -> DataFrame:
@@ -22,12 +23,13 @@ def support_category_summary(support_requests: DataFrame) -> DataFrame:
 def support_kpis(support_requests: DataFrame) -> DataFrame:
     """One row: totals, mean resolution time, the most common and the slowest category."""
     category, total = F.col("request_category"), F.sum("total_requests")
+    hours = exact_total(F.col("exact_hours"), F.col("most_hours"), F.col("hours"))
     return (
         _per_category(support_requests)
         .agg(
             total.alias("total"),
             F.sum("unresolved_count").alias("unresolved"),
-            F.try_divide(F.sum("hours"), total).alias("mean_hours"),
+            F.try_divide(hours, total).alias("mean_hours"),
             first_by(category, F.col("total_requests")).alias("common"),
             first_by(category, F.col("avg_resolution_hours")).alias("slowest"),
         )
@@ -61,9 +63,12 @@ def repeated_issues(support_requests: DataFrame) -> DataFrame:
 
 
 def _per_category(support_requests: DataFrame) -> DataFrame:
+    hours = F.col("resolution_time")
     return support_requests.groupBy("request_category").agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(differs(F.col("request_status"), "Resolved")).alias("unresolved_count"),
-        F.sum("resolution_time").alias("hours"),
-        F.coalesce(round_scaled(F.avg("resolution_time"), 2), F.lit(0.0)).alias("avg_resolution_hours"),
-    )
+        F.sum(exact(hours)).alias("exact_hours"),
+        F.sum(hours).alias("hours"),
+        F.max(hours).alias("most_hours"),
+        exact_mean(hours).alias("mean_hours"),
+    ).withColumn("avg_resolution_hours", F.coalesce(round_scaled(F.col("mean_hours"), 2), F.lit(0.0)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from firstmonth import schemas
 from firstmonth.functions.rounding import mean_half_up, percent_half_up, round_half_up
+from firstmonth.functions.sums import exact_mean
 from firstmonth.operators.day_zero import DayZero, measure, onboarding_start_dates
 from firstmonth.sources.tables import Tables
 
@@ -108,7 +109,7 @@ def support_mttr(support_requests: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("total_requests"),
             F.count_if(F.col("request_status") != "Resolved").alias("unresolved_requests"),
-            round_half_up(F.avg("resolution_time")).alias("avg_resolution_hours"),
+            round_half_up(exact_mean(F.col("resolution_time"))).alias("avg_resolution_hours"),
         )
         .orderBy(F.desc("total_requests"), F.desc_nulls_first("avg_resolution_hours"), "request_category")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from firstmonth.operators.cleaning import clean_onboarding, clean_tables
+from firstmonth.operators.cleaning import clean_tables
 from firstmonth.operators.cohort import stage_cohort
 from firstmonth.operators.day_zero import (
     BROADCAST_BYTES,
@@ -24,6 +24,7 @@ class FirstMonth:
     raw: Tables
     day_zero: DayZero
     tables: Tables
+    ignore_keys: bool = False
 
     def cohort(self, stage: str) -> FirstMonth:
         """The same for the employees seen at ``stage``.
@@ -31,13 +32,21 @@ class FirstMonth:
         The large tables are not joined a second time: Day 0 is cut to the cohort, and the join that
         cleans a table drops everyone else.
         """
-        employees = stage_cohort(clean_onboarding(self.raw.onboarding, self.day_zero), stage)
-        day_zero = self.day_zero.restricted_to(employees)
-        return FirstMonth(self.raw, day_zero, clean_tables(self.raw, day_zero))
+        day_zero = self.day_zero.restricted_to(stage_cohort(self.tables.onboarding, stage))
+        return _first_month(self.raw, day_zero, self.ignore_keys)
 
 
-def prepare(raw: Tables, broadcast_bytes: int = BROADCAST_BYTES, heavy_rows: int = HEAVY_ROWS) -> FirstMonth:
+def prepare(
+    raw: Tables,
+    ignore_keys: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    heavy_rows: int = HEAVY_ROWS,
+) -> FirstMonth:
     """Compute Day 0 once (one job over two columns per table); everything after it is lazy."""
     raw = Tables(*(conform(df, name) for name, df in raw.items()))
     day_zero = measure(earliest_days(day_zero_candidates(raw)), broadcast_bytes, heavy_rows)
-    return FirstMonth(raw, day_zero, clean_tables(raw, day_zero))
+    return _first_month(raw, day_zero, ignore_keys)
+
+
+def _first_month(raw: Tables, day_zero: DayZero, ignore_keys: bool) -> FirstMonth:
+    return FirstMonth(raw, day_zero, clean_tables(raw, day_zero, ignore_keys), ignore_keys)

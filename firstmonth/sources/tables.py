@@ -37,19 +37,23 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     is not a number becomes null.
     """
     fields = {field.name: field.dataType for field in schemas.SCHEMAS[table]}
-    present = dict(df.dtypes)
+    defaults = schemas.OPTIONAL_DEFAULTS[table]
+    types = {field.name: field.dataType for field in df.schema}
+    if all(fields.get(name, kind) == kind for name, kind in types.items()) and set(defaults) <= set(types):
+        return df
     columns = []
     for name in df.columns:
         column = F.col(f"`{name}`")
-        if name == "resolution_time" and present[name] == "string":
+        is_text = isinstance(types[name], T.StringType)
+        if name == "resolution_time" and is_text:
             column = number_or_null(column)
-        elif isinstance(fields.get(name), T.TimestampNTZType) and present[name] == "string":
+        elif isinstance(fields.get(name), T.TimestampNTZType) and is_text:
             column = column.cast("timestamp").cast("timestamp_ntz")  # an offset in the text moves it to UTC
         elif name in fields:
             column = column.cast(fields[name])
         columns.append(column.alias(name))
-    for name, default in schemas.OPTIONAL_DEFAULTS[table].items():
-        if name not in present:
+    for name, default in defaults.items():
+        if name not in types:
             columns.append(F.lit(default).cast(fields[name]).alias(name))
     return df.select(*columns)
 

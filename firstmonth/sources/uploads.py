@@ -16,17 +16,23 @@ MISSING_MARKS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, named by the header; missing marks become null.
 
-    A quoted cell may hold a line break, so a file is read as a whole by one task. Pass
-    ``multiline=False`` for large files without such cells; they are then split like any text.
+    Files are split between tasks, unless a quoted cell holds a line break.
     """
-    df = spark.read.csv(path, header=True, multiLine=multiline, escape='"', enforceSchema=False)
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False)
+    df = reader.csv(path, multiLine=has_line_breaks(spark, path))
     cells = [(F.col(f"`{name}`"), name) for name in df.columns]
     return df.select(*[F.when(~cell.isin(MISSING_MARKS), cell).alias(name) for cell, name in cells])
 
 
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """True when a line ends inside quotes, that is, when some line holds an odd number of them."""
+    quotes = F.regexp_count("value", F.lit('"'))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every text column; a missing cell stays missing."""
     return df.select(
@@ -52,6 +58,6 @@ def validate_upload(df: DataFrame, table: str) -> DataFrame:
     return trim_strings(df)
 
 
-def read_upload(spark: SparkSession, path: str, table: str, multiline: bool = True) -> DataFrame:
+def read_upload(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A CSV upload, validated and in the table's declared types."""
-    return conform(validate_upload(read_csv(spark, path, multiline), table), table)
+    return conform(validate_upload(read_csv(spark, path), table), table)
