@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from firstmonth.sources.tables import Tables
 class Source:
     """What one source contributes to the ranking."""
 
-    name: str
+    source: str
     label: str
     metric_divisor: float
     weight: float
@@ -29,7 +29,7 @@ class Source:
 # Labels, scoring constants and wording. {n} is the frequency, {pct} the affected share,
 # {m} the metric of the source.
 STAGE_DELAY = Source(
-    name="Onboarding Progress",
+    source="Onboarding Progress",
     label="Onboarding Stage Delay: ",
     metric_divisor=5.0,
     weight=10.0,
@@ -38,7 +38,7 @@ STAGE_DELAY = Source(
     impact="Slows down progression to subsequent onboarding milestones and initial team contribution.",
 )
 TOOL_FAILURE = Source(
-    name="Internal Tool Usage",
+    source="Internal Tool Usage",
     label="Tool Usage Failure: ",
     metric_divisor=20.0,
     weight=8.0,
@@ -47,7 +47,7 @@ TOOL_FAILURE = Source(
     impact="Blocks daily operational workflows and creates login/authentication downtime.",
 )
 SUPPORT = Source(
-    name="Support Requests",
+    source="Support Requests",
     label="Support Dependency: ",
     metric_divisor=12.0,
     weight=9.0,
@@ -66,13 +66,13 @@ def friction_points(tables: Tables) -> DataFrame:
     Each source is merged per group and employee before anything is shuffled by group, which also
     gives the number of affected employees without a second pass.
     """
-    scored = [
-        _score(_delayed_stages(tables.onboarding), STAGE_DELAY, tables.onboarding),
-        _score(_failing_tools(tables.tool_usage), TOOL_FAILURE, tables.onboarding),
-        _score(_support_categories(tables.support_requests), SUPPORT, tables.onboarding),
+    groups = [
+        _tagged(_delayed_stages(tables.onboarding), STAGE_DELAY),
+        _tagged(_failing_tools(tables.tool_usage), TOOL_FAILURE),
+        _tagged(_support_categories(tables.support_requests), SUPPORT),
     ]
-    points = scored[0].unionByName(scored[1]).unionByName(scored[2])
-    return points.orderBy(*_ranking())
+    everything = groups[0].unionByName(groups[1]).unionByName(groups[2])
+    return _scored(everything, cohort_size(tables.onboarding)).orderBy(*_ranking())
 
 
 def friction_evidence(points: DataFrame) -> DataFrame:
@@ -150,30 +150,33 @@ def _support_categories(support_requests: DataFrame) -> DataFrame:
     )
 
 
-def _score(groups: DataFrame, source: Source, onboarding: DataFrame) -> DataFrame:
+def _tagged(groups: DataFrame, source: Source) -> DataFrame:
+    """The groups of one source with everything the source contributes to their lines."""
+    return groups.select("*", *[F.lit(getattr(source, f.name)).alias(f.name) for f in fields(source)])
+
+
+def _scored(groups: DataFrame, size: DataFrame) -> DataFrame:
     metric, frequency, share = F.col("metric"), F.col("frequency"), F.col("share")
-    score = frequency * share * (1 + metric / source.metric_divisor) * source.weight
-    scored = (
-        groups.withColumn("share", F.col("affected_employees") / cohort_size(onboarding).scalar())
-        .withColumn("raw_pct", share * 100)
-        .withColumn("metric", round_exact(F.col("raw_metric"), 1))
-        .withColumn("affected_pct", round_exact(F.col("raw_pct"), 1))
-        .withColumn("raw_score", score)
+    score = frequency * share * (1 + metric / F.col("metric_divisor")) * F.col("weight")
+    rounded = groups.select("*", (F.col("affected_employees") / size.scalar()).alias("share")).select(
+        "*",
+        round_exact(F.col("raw_metric"), 1).alias("metric"),
+        round_exact(share * 100, 1).alias("affected_pct"),
     )
-    return scored.select(
-        F.concat(F.lit(source.label), "name").alias("friction_point"),
-        F.lit(source.name).alias("source"),
+    return rounded.select("*", score.alias("score")).select(
+        F.concat("label", "name").alias("friction_point"),
+        "source",
         "frequency",
         "affected_employees",
         "affected_pct",
-        _fill(source.metric_text).alias("impact_metric"),
-        round_exact(F.col("raw_score"), 1).alias("friction_score"),
-        _fill(source.evidence).alias("evidence"),
-        F.lit(source.impact).alias("productivity_impact"),
+        _fill("metric_text").alias("impact_metric"),
+        round_exact(F.col("score"), 1).alias("friction_score"),
+        _fill("evidence").alias("evidence"),
+        F.col("impact").alias("productivity_impact"),
     )
 
 
 def _fill(template: str) -> Column:
-    text = F.replace(F.lit(template), F.lit("{n}"), F.col("frequency").cast("string"))
+    text = F.replace(template, F.lit("{n}"), F.col("frequency").cast("string"))
     text = F.replace(text, F.lit("{pct}"), one_decimal(F.col("affected_pct")))
     return F.replace(text, F.lit("{m}"), one_decimal(F.col("metric")))
