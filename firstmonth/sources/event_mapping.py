@@ -1,4 +1,4 @@
-"""Derives the three tables from a generic ``events`` table (event_id, ts, user_id, event_type, value).
+"""Derives the three tables from a generic ``events`` table.
 
 Some dirt is put in on purpose: missing employees, exact copies, null states, completion before start,
 negative and missing resolution times, events after Day 30.
@@ -6,14 +6,18 @@ negative and missing resolution times, events after Day 30.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from firstmonth.sources.tables import Tables
 
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+
+_EMPLOYEE = "if(event_id % 101 = 0, null, concat('EMP-', user_id)) as employee_id"
+_SHIFTED = "ts + make_dt_interval(cast(floor(value / 10) as int))"
+
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def map_events(events: DataFrame, surrogate_keys: bool = False) -> Tables:
@@ -24,77 +28,47 @@ def map_events(events: DataFrame, surrogate_keys: bool = False) -> Tables:
 
 
 def _onboarding(events: DataFrame, surrogate_keys: bool) -> DataFrame:
-    event_id, day, step = F.col("event_id"), F.to_date("ts"), F.col("event_id") % 7
-    status = (
-        F.when(step.isin(0, 1, 2), "Completed")
-        .when(step.isin(3, 4), "Delayed")
-        .when(step == 5, "In Progress")
-        .otherwise("Not Started")
-    )
-    finished = step.isin(0, 1, 2) | ((step == 3) & (event_id % 2 == 0))
-    completion = F.when(event_id % 59 == 0, F.date_sub(day, 2)).when(
-        finished, F.date_add(day, (event_id % 9).cast("int"))
-    )
-    return events.filter(F.col("event_type") == "signup").select(
-        *([event_id.alias("onboarding_id")] if surrogate_keys else []),
-        _employee(),
-        _numbered("Stage", 6).alias("onboarding_stage"),
-        status.alias("stage_status"),
-        day.alias("start_date"),
-        completion.alias("completion_date"),
+    return events.filter("event_type = 'signup'").selectExpr(
+        *(["event_id as onboarding_id"] if surrogate_keys else []),
+        _EMPLOYEE,
+        "concat('Stage-', event_id % 6 + 1) as onboarding_stage",
+        """case when event_id % 7 <= 2 then 'Completed'
+                when event_id % 7 <= 4 then 'Delayed'
+                when event_id % 7 = 5 then 'In Progress'
+                else 'Not Started' end as stage_status""",
+        "to_date(ts) as start_date",
+        """case when event_id % 59 = 0 then date_sub(to_date(ts), 2)
+                when event_id % 7 <= 2 or event_id % 14 = 10
+                then date_add(to_date(ts), cast(event_id % 9 as int)) end as completion_date""",
     )
 
 
 def _tool_usage(events: DataFrame, surrogate_keys: bool) -> DataFrame:
-    event_id, kind = F.col("event_id"), F.col("event_type")
-    status = F.when(
-        event_id % 97 != 0,
-        F.when(kind != "error", "Success")
-        .when(event_id % 3 == 0, "Failed")
-        .when(event_id % 3 == 1, "Timeout")
-        .otherwise("Permission Denied"),
-    )
-    rows = events.filter(kind.isin("click", "view", "error"))
+    rows = events.filter("event_type in ('click', 'view', 'error')")
     if not surrogate_keys:
-        copies = F.when(event_id % 89 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        rows = rows.withColumn("copy_no", F.explode(copies))
-    return rows.select(
-        *([event_id.alias("usage_id")] if surrogate_keys else []),
-        _employee(),
-        _numbered("Tool", 9).alias("tool_name"),
-        _shifted().alias("usage_date"),
-        _numbered("Activity", 6).alias("usage_activity"),
-        status.alias("usage_status"),
+        rows = rows.selectExpr("*", "explode(if(event_id % 89 = 0, array(0, 1), array(0))) as copy_no")
+    return rows.selectExpr(
+        *(["event_id as usage_id"] if surrogate_keys else []),
+        _EMPLOYEE,
+        "concat('Tool-', event_id % 9 + 1) as tool_name",
+        f"{_SHIFTED} as usage_date",
+        "concat('Activity-', event_id % 6 + 1) as usage_activity",
+        """case when event_id % 97 = 0 then null
+                when event_type != 'error' then 'Success'
+                when event_id % 3 = 0 then 'Failed'
+                when event_id % 3 = 1 then 'Timeout'
+                else 'Permission Denied' end as usage_status""",
     )
 
 
 def _support_requests(events: DataFrame) -> DataFrame:
-    event_id, digit, value = F.col("event_id"), F.col("event_id") % 10, F.col("value")
-    status = (
-        F.when(digit == 0, "Pending")
-        .when(digit == 1, "In Progress")
-        .when(digit == 2, "Closed")
-        .otherwise("Resolved")
-    )
-    hours = F.when(~digit.isin(0, 1), F.when(event_id % 53 == 0, -value).otherwise(value))
-    return events.filter(F.col("event_type") == "purchase").select(
-        F.concat(F.lit("REQ-"), event_id.cast("string")).alias("request_id"),
-        _employee(),
-        _numbered("Category", 6).alias("request_category"),
-        _shifted().alias("request_date"),
-        status.alias("request_status"),
-        hours.alias("resolution_time"),
+    return events.filter("event_type = 'purchase'").selectExpr(
+        "concat('REQ-', event_id) as request_id",
+        _EMPLOYEE,
+        "concat('Category-', event_id % 6 + 1) as request_category",
+        f"{_SHIFTED} as request_date",
+        """case event_id % 10 when 0 then 'Pending' when 1 then 'In Progress' when 2 then 'Closed'
+                else 'Resolved' end as request_status""",
+        """case when event_id % 10 > 1
+                then if(event_id % 53 = 0, -value, value) end as resolution_time""",
     )
-
-
-def _employee() -> Column:
-    name = F.concat(F.lit("EMP-"), F.col("user_id").cast("string"))
-    return F.when(F.col("event_id") % 101 != 0, name).alias("employee_id")
-
-
-def _numbered(label: str, n: int) -> Column:
-    return F.concat(F.lit(f"{label}-"), (F.col("event_id") % n + 1).cast("string"))
-
-
-def _shifted() -> Column:
-    return F.col("ts") + F.make_dt_interval(days=F.floor(F.col("value") / 10).cast("int"))

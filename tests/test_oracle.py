@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as registry
 
-DATA = Path("/root/testdata")
+SF_DIR = "/root/testdata/sf0.01"
 SQL = registry.oracle_sql()
 
 DUCKDB_TYPES = {
@@ -38,18 +38,10 @@ def rows(columns, records):
     return Counter(tuple(plain(record[i]) for i in order) for record in records)
 
 
-@pytest.fixture(scope="session", params=["sf0.001", "sf0.01"])
-def sf_dir(request):
-    folder = DATA / request.param
-    if not folder.exists():
-        pytest.skip("no test data")
-    return str(folder)
-
-
 @pytest.fixture(scope="session")
-def duck(sf_dir):
+def duck():
     connection = duckdb.connect()
-    for path in sorted(Path(sf_dir).glob("*.parquet")):
+    for path in sorted(Path(SF_DIR).glob("*.parquet")):
         connection.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
     return connection
 
@@ -59,9 +51,9 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, duck, sf_dir, name):
+def test_query_equals_sql(spark, duck, name):
     expected = duck.sql(SQL[name])
-    actual = registry.queries()[name](spark, sf_dir)
+    actual = registry.queries()[name](spark, SF_DIR)
     assert sorted((c, DUCKDB_TYPES[t]) for c, t in actual.dtypes) == sorted(
         zip(expected.columns, map(str, expected.types))
     )
