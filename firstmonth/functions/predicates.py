@@ -14,6 +14,8 @@ WHITESPACE = (
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
+_OFFSET = r"(?i)\d:\d\d.*(z|utc|gmt|[+-]\d{1,2}(:?\d\d)?)\s*$"
+
 
 def differs(column: Column, value: str) -> Column:
     """``column != value`` where a null counts as different."""
@@ -30,6 +32,12 @@ def number_or_null(column: Column) -> Column:
     return F.when(column.rlike(_NUMBER), strip(column).try_cast("double"))
 
 
+def moment_or_raise(column: Column) -> Column:
+    """Text to a UTC timestamp without a zone; text with an offset is moved to UTC (in a UTC session)."""
+    moved = column.cast("timestamp").cast("timestamp_ntz")
+    return F.when(column.rlike(_OFFSET), moved).otherwise(column.cast("timestamp_ntz"))
+
+
 def hours_or_zero(column: Column) -> Column:
     """Missing, NaN and negative hours become 0."""
     hours = F.nanvl(column.cast("double"), F.lit(None).cast("double"))

@@ -108,7 +108,7 @@ def constraint_violations(tables: Tables) -> DataFrame:
         rules = constraint_rules(table)
         counts = df.agg(*[F.count_if(broken).alias(rule) for rule, broken in rules.items()])
         reports.append(_long(counts, table))
-        key = schemas.SURROGATE_KEYS.get(table, "request_id")
+        key = schemas.PRIMARY_KEYS[table]
         if key in df.columns:
             per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
             repeats = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(f"{key}_unique")

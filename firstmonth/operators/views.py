@@ -15,7 +15,7 @@ from firstmonth import schemas
 from firstmonth.functions.rounding import mean_half_up, percent_half_up, round_half_up
 from firstmonth.functions.sums import exact_mean
 from firstmonth.operators.day_zero import DayZero, measure, onboarding_start_dates
-from firstmonth.sources.tables import Tables
+from firstmonth.sources.tables import Tables, conform
 
 
 def employee_start_dates(onboarding: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def employee_start_dates(onboarding: DataFrame) -> DataFrame:
 
 
 def first_30_days_onboarding(onboarding: DataFrame, starts: DayZero) -> DataFrame:
-    rows = _within(onboarding, "start_date", starts)
+    rows = _within(onboarding, schemas.ONBOARDING, starts)
     return rows.select(
         "onboarding_id",
         "employee_id",
@@ -39,7 +39,7 @@ def first_30_days_onboarding(onboarding: DataFrame, starts: DayZero) -> DataFram
 
 
 def first_30_days_tool_usage(tool_usage: DataFrame, starts: DayZero) -> DataFrame:
-    rows = _within(tool_usage, "usage_date", starts)
+    rows = _within(tool_usage, schemas.TOOL_USAGE, starts)
     return rows.select(
         "usage_id",
         "employee_id",
@@ -53,7 +53,7 @@ def first_30_days_tool_usage(tool_usage: DataFrame, starts: DayZero) -> DataFram
 
 
 def first_30_days_support(support_requests: DataFrame, starts: DayZero) -> DataFrame:
-    rows = _within(support_requests, "request_date", starts)
+    rows = _within(support_requests, schemas.SUPPORT_REQUESTS, starts)
     return rows.select(
         "request_id",
         "employee_id",
@@ -115,7 +115,10 @@ def support_mttr(support_requests: DataFrame) -> DataFrame:
     )
 
 
-def _within(df: DataFrame, date_column: str, starts: DayZero) -> DataFrame:
-    at = F.col(date_column)
+def _within(df: DataFrame, table: str, starts: DayZero) -> DataFrame:
+    at, key = F.col(schemas.EVENT_DATE[table]), schemas.PRIMARY_KEYS[table]
+    df = conform(df, table)
+    if key not in df.columns:  # an imported upload has no key
+        df = df.withColumn(key, F.lit(None).cast(schemas.SCHEMAS[table][key].dataType))
     in_window = (at >= F.col("joining_date")) & (at <= F.date_add("joining_date", schemas.WINDOW_DAYS))
     return reduce(DataFrame.unionByName, [part.filter(in_window) for part in starts.attach(df)])

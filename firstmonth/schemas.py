@@ -44,6 +44,7 @@ SCHEMAS = {
 }
 
 # Fixed values.
+PRIMARY_KEYS = {ONBOARDING: "onboarding_id", TOOL_USAGE: "usage_id", SUPPORT_REQUESTS: "request_id"}
 SURROGATE_KEYS = {ONBOARDING: "onboarding_id", TOOL_USAGE: "usage_id"}
 EVENT_DATE = {ONBOARDING: "start_date", TOOL_USAGE: "usage_date", SUPPORT_REQUESTS: "request_date"}
 

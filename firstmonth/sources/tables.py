@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firstmonth import schemas
-from firstmonth.functions.predicates import number_or_null
+from firstmonth.functions.predicates import moment_or_raise, number_or_null
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         if name == "resolution_time" and is_text:
             column = number_or_null(column)
         elif isinstance(fields.get(name), T.TimestampNTZType) and is_text:
-            column = column.cast("timestamp").cast("timestamp_ntz")  # an offset in the text moves it to UTC
+            column = moment_or_raise(column)
         elif name in fields:
             column = column.cast(fields[name])
         columns.append(column.alias(name))
