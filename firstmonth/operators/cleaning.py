@@ -51,8 +51,9 @@ def first_month(df: DataFrame, table: str, day_zero: DayZero, ignore_keys: bool
     """
     df = conform(df, table)
     ignored = [schemas.SURROGATE_KEYS[table]] if ignore_keys and table in schemas.SURROGATE_KEYS else []
-    days = F.date_diff(F.to_date(schemas.EVENT_DATE[table]), "joining_date")
+    date_column = schemas.EVENT_DATE[table]
+    days = F.date_diff(F.to_date(date_column), "joining_date")
     in_month = days.between(0, schemas.WINDOW_DAYS)
-    parts = [deduplicate(part.filter(in_month), ignored) for part in day_zero.attach(df)]
+    parts = [deduplicate(part.filter(in_month), ignored) for part in day_zero.attach(df, date_column)]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(*df.columns, "joining_date", days.alias("days_since_joining"))

@@ -13,6 +13,7 @@ written. The measured size decides how a table is joined to it:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ class DayZero:
     source_rows: int
     size_bytes: int
     largest_row_bytes: int
+    first_day: date | None
+    last_day: date | None
     broadcast_bytes: int = BROADCAST_BYTES
     heavy_rows: int = HEAVY_ROWS
 
@@ -53,12 +56,13 @@ class DayZero:
     def dates(self) -> DataFrame:
         return self.frame.select("employee_id", "joining_date")
 
-    def attach(self, facts: DataFrame) -> list[DataFrame]:
-        """``facts`` with ``joining_date``; rows of unknown or missing employees go.
+    def attach(self, facts: DataFrame, date_column: str) -> list[DataFrame]:
+        """``facts`` with ``joining_date``; rows of unknown or missing employees go, and some rows that
+        lie outside every first month.
 
         The parts have no employee in common. Their union is the result.
         """
-        facts = facts.filter(F.col("employee_id").isNotNull())
+        facts = facts.filter(F.col("employee_id").isNotNull()).filter(self._in_any_window(date_column))
         if self.fits_broadcast:
             return [facts.join(F.broadcast(self.dates), "employee_id")]
         is_heavy = F.col("source_rows") > self.heavy_threshold
@@ -70,6 +74,13 @@ class DayZero:
             light_facts.join(others.hint("merge"), "employee_id"),
         ]
 
+    def _in_any_window(self, date_column: str) -> Column:
+        """Constant bounds that reach the scan; they skip much when Day 0 covers a cohort or a few months."""
+        if self.first_day is None or self.last_day is None:
+            return F.lit(False)
+        end = self.last_day + timedelta(days=schemas.WINDOW_DAYS + 1)
+        return (F.col(date_column) >= F.lit(self.first_day)) & (F.col(date_column) < F.lit(end))
+
     def restricted_to(self, employees: DataFrame) -> DayZero:
         """Day 0 of the given employees only."""
         kept = self.frame.join(employees.select("employee_id").distinct(), "employee_id", "left_semi")
@@ -115,6 +126,8 @@ def measure(
         _sum(F.col("source_rows")).alias("source_rows"),
         _sum(row_bytes).alias("size_bytes"),
         F.coalesce(F.max(row_bytes), F.lit(0)).alias("largest_row_bytes"),
+        F.min("joining_date").alias("first_day"),
+        F.max("joining_date").alias("last_day"),
     ).checkpoint()
     return DayZero(saved, broadcast_bytes=broadcast_bytes, heavy_rows=heavy_rows, **sizes.get)
 

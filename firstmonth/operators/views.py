@@ -121,4 +121,4 @@ def _within(df: DataFrame, table: str, starts: DayZero) -> DataFrame:
     if key not in df.columns:  # an imported upload has no key
         df = df.withColumn(key, F.lit(None).cast(schemas.SCHEMAS[table][key].dataType))
     in_window = (at >= F.col("joining_date")) & (at <= F.date_add("joining_date", schemas.WINDOW_DAYS))
-    return reduce(DataFrame.unionByName, [part.filter(in_window) for part in starts.attach(df)])
+    return reduce(DataFrame.unionByName, [part.filter(in_window) for part in starts.attach(df, schemas.EVENT_DATE[table])])

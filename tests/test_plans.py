@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 import pytest
+from helpers import day, moment, tables
 
 import __spark_entry__ as registry
-from firstmonth.operators import friction, quality, tools
+from firstmonth.operators import friction, quality, tools, views
+from firstmonth.operators.day_zero import measure, onboarding_start_dates
 from firstmonth.plans.first_month import prepare
 from firstmonth.sources.event_mapping import map_events, read_events
+from firstmonth.sources.tables import load_tables
 
 SF = "/root/testdata/sf0.001"
 WRITES = {"append_tool_usage", "clear_tables"} | {n for n in registry.queries() if n.startswith("csv_import")}
@@ -76,3 +79,19 @@ def test_audit_shuffles_each_table_once(spark, uploads, capsys):
 def test_entry(spark):
     df = registry.entry(spark)
     assert df.columns[0] == "friction_point" and df.count() > 0
+
+
+def test_date_bounds_reach_the_scan_of_stored_tables(spark, tmp_path, capsys):
+    onb = [("a", "S", "Delayed", day(0), None), ("b", "S", "Delayed", day(100), None)]
+    usage = [(e, "T", moment(n), "Failed") for e in "ab" for n in (-3, 0, 5, 101, 140, 400)]
+    for name, df in tables(spark, onb=onb, tool=usage).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    stored = load_tables(spark, str(tmp_path))
+    starts = measure(onboarding_start_dates(stored.onboarding))
+    assert (starts.first_day, starts.last_day) == (day(0), day(100))
+    view = views.first_30_days_tool_usage(stored.tool_usage, starts)
+    assert sorted((r.employee_id, r.days_since_joining) for r in view.collect()) == [("a", 0), ("a", 5), ("b", 1)]
+    text = plan(view, capsys)
+    pushed = re.search(r"PushedFilters: (.*)", text).group(1)
+    assert "GreaterThanOrEqual(usage_date,2026-01-05T00:00)" in pushed
+    assert "LessThan(usage_date,2026-05-16T00:00)" in pushed
