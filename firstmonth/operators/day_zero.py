@@ -24,7 +24,7 @@ from firstmonth.sources.tables import Tables
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 HEAVY_ROWS = 5_000_000
-_ROW_OVERHEAD = 128  # bytes a row of a broadcast hash table needs besides its key, which it holds twice
+_ROW_OVERHEAD = 192  # upper estimate of the bytes a broadcast row takes besides its key, which is stored twice
 
 
 @dataclass(frozen=True)

@@ -69,12 +69,14 @@ def tool_leaders(tool_usage: DataFrame) -> DataFrame:
 def tool_support_overlap(tool_usage: DataFrame, support_requests: DataFrame) -> DataFrame:
     """Tool events and failures of employees who asked for support.
 
-    Both sides are merged per employee first, so the join sees at most one row per tool and employee.
+    Both sides are merged per employee first, so the join sees at most one row per tool and employee. It
+    is an inner join with distinct employees, because a left semi join would be moved below the merge,
+    where all rows of a hot employee meet in one task.
     """
     supported = support_requests.select("employee_id").distinct()
     return (
         per_tool_and_employee(tool_usage)
-        .join(supported, "employee_id", "left_semi")
+        .join(supported, "employee_id")
         .groupBy("tool_name")
         .agg(
             F.sum("events").alias("events_by_supported_employees"),

@@ -166,7 +166,7 @@ def test_measured_size(spark):
     t = tables(spark, onb=[("ab", "S", "Delayed", day(0), None)] * 3, sup=[("1", "abcd", "C", moment(0), "Closed", 1.0)])
     zero = prepare(t).day_zero
     assert (zero.employees, zero.source_rows) == (2, 4)
-    assert zero.size_bytes == 2 * 128 + 2 * (2 + 4)
+    assert zero.size_bytes == 2 * 192 + 2 * (2 + 4)
     empty = prepare(tables(spark)).day_zero
     assert (empty.employees, empty.size_bytes, empty.fits_broadcast) == (0, 0, True)
 

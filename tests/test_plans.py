@@ -95,3 +95,14 @@ def test_date_bounds_reach_the_scan_of_stored_tables(spark, tmp_path, capsys):
     pushed = re.search(r"PushedFilters: (.*)", text).group(1)
     assert "GreaterThanOrEqual(usage_date,2026-01-05T00:00)" in pushed
     assert "LessThan(usage_date,2026-05-16T00:00)" in pushed
+
+
+def test_overlap_joins_after_merging_per_employee(spark, uploads, capsys):
+    t = prepare(uploads).tables
+    tree = plan(tools.tool_support_overlap(t.tool_usage, t.support_requests), capsys)
+    tree = tree[: tree.index("(1) ")]
+    assert "LeftSemi" not in tree
+    # Going up the tool branch: window join, deduplication, merge per tool and employee, overlap join.
+    nodes = re.findall(r"(HashAggregate|Join)", tree)
+    assert nodes[0:2] == ["HashAggregate", "HashAggregate"] and nodes[2] == "Join"
+    assert nodes[3:7] == ["HashAggregate"] * 4 and nodes[7] == "Join"
