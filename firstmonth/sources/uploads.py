@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
-from firstmonth.functions.predicates import strip
+from firstmonth.functions.predicates import WHITESPACE, strip
 from firstmonth.sources.tables import conform
 
 # Cells that mean "missing".
@@ -15,6 +15,8 @@ MISSING_MARKS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+BYTE_ORDER_MARK = "\ufeff"
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, named by the header; missing marks become null.
@@ -44,17 +46,14 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def validate_upload(df: DataFrame, table: str) -> DataFrame:
-    """Reject an empty upload or one without the required columns; trim names and cells."""
+    """Trim names and cells; an upload without rows or without a required column is an error."""
     if df.isEmpty():
-        raise ValueError("Uploaded CSV file is completely empty.")
-    df = df.toDF(*[name.strip() for name in df.columns])
+        raise ValueError(f"The upload for {table} has no rows.")
+    df = df.toDF(*[name.strip(WHITESPACE + BYTE_ORDER_MARK) for name in df.columns])
     required = schemas.REQUIRED_COLUMNS.get(table, [])
-    missing = [name for name in required if name not in df.columns]
-    if missing:
-        raise ValueError(
-            f"Uploaded CSV for '{table}' is missing required column(s): {missing}. "
-            f"Required columns are: {required}"
-        )
+    absent = set(required).difference(df.columns)
+    if absent:
+        raise ValueError(f"The upload for {table} lacks {sorted(absent)}; it must have {required}.")
     return trim_strings(df)
 
 

@@ -294,27 +294,24 @@ from counts where duplicates > 0"""
 
     sql["view_employee_start_dates"] = f"{DATABASE} select * from start_dates"
     sql["view_first_30_days_onboarding"] = f"""{DATABASE}
-select o.onboarding_id, o.employee_id, s.joining_date, o.onboarding_stage, o.stage_status, o.start_date, o.completion_date,
-       cast(o.start_date - s.joining_date as integer) as start_day_offset,
-       cast(o.completion_date - o.start_date as integer) as stage_duration_days
-from onboarding o join start_dates s on o.employee_id = s.employee_id
-where o.start_date >= s.joining_date and o.start_date <= s.joining_date + interval '30' day"""
+select * from (
+  select *, cast(date_diff('day', joining_date, start_date) as integer) as start_day_offset,
+         cast(date_diff('day', start_date, completion_date) as integer) as stage_duration_days
+  from onboarding join start_dates using (employee_id)) v
+where start_day_offset between 0 and 30"""
     sql["view_first_30_days_tool_usage"] = f"""{DATABASE}
-select t.usage_id, t.employee_id, s.joining_date, t.tool_name, t.usage_date, t.usage_activity, t.usage_status,
-       cast(extract(day from t.usage_date - cast(s.joining_date as timestamp)) as integer) as days_since_joining
-from tool_usage t join start_dates s on t.employee_id = s.employee_id
-where t.usage_date >= cast(s.joining_date as timestamp) and t.usage_date <= s.joining_date + interval '30' day"""
+select *, cast(floor(epoch(usage_date - joining_date) / 86400) as integer) as days_since_joining
+from tool_usage join start_dates using (employee_id)
+where epoch(usage_date - joining_date) between 0 and 30 * 86400"""
     sql["view_first_30_days_support"] = f"""{DATABASE}
-select r.request_id, r.employee_id, s.joining_date, r.request_category, r.request_date, r.request_status, r.resolution_time,
-       cast(extract(day from r.request_date - cast(s.joining_date as timestamp)) as integer) as days_since_joining
-from support_requests r join start_dates s on r.employee_id = s.employee_id
-where r.request_date >= cast(s.joining_date as timestamp) and r.request_date <= s.joining_date + interval '30' day"""
+select *, cast(floor(epoch(request_date - joining_date) / 86400) as integer) as days_since_joining
+from support_requests join start_dates using (employee_id)
+where epoch(request_date - joining_date) between 0 and 30 * 86400"""
     sql["view_sql"] = f"""{DATABASE}
-select t.tool_name, count(*) as events, count(distinct t.employee_id) as employees
-from tool_usage t join start_dates s on t.employee_id = s.employee_id
-where t.usage_date >= cast(s.joining_date as timestamp) and t.usage_date <= s.joining_date + interval '30' day
-  and t.usage_status = 'Timeout'
-group by t.tool_name"""
+select tool_name, count(*) as events, count(distinct employee_id) as employees
+from tool_usage join start_dates using (employee_id)
+where epoch(usage_date - joining_date) between 0 and 30 * 86400 and usage_status = 'Timeout'
+group by tool_name"""
     sql["sql_stage_delays"] = f"""{UPLOADS}
 select onboarding_stage, count(*) as total_assignments,
        count(*) filter (where stage_status = 'Completed') as completed_count,

@@ -44,6 +44,11 @@ def test_upload_in_any_column_order_with_extra_columns(spark, tmp_path):
     assert (other["employee_id"], other["team"], other["usage_status"]) == (None, None, "Success")
 
 
+def test_upload_with_byte_order_mark(spark, tmp_path):
+    path = csv_file(tmp_path, "\ufeffemployee_id,onboarding_stage,start_date\na,S,2026-01-05\n")
+    assert only(read_upload(spark, path, schemas.ONBOARDING))["employee_id"] == "a"
+
+
 def test_upload_numbers(spark, tmp_path):
     lines = ["abc", "nan", " 3 ", "-1", "", "2.5"]
     text = "employee_id,request_category,request_date,resolution_time\n" + "".join(
@@ -63,7 +68,7 @@ def test_cells_with_line_breaks_stay_whole(spark, tmp_path):
 
 
 def test_upload_without_rows_or_required_columns(spark, tmp_path):
-    with pytest.raises(ValueError, match="completely empty"):
+    with pytest.raises(ValueError, match="no rows"):
         validate_upload(read_csv(spark, csv_file(tmp_path, "employee_id,tool_name\n")), schemas.TOOL_USAGE)
     for table, required in schemas.REQUIRED_COLUMNS.items():
         for column in required:
@@ -71,7 +76,7 @@ def test_upload_without_rows_or_required_columns(spark, tmp_path):
             df = spark.createDataFrame([("x",) * len(rest)], rest)
             with pytest.raises(ValueError) as error:
                 validate_upload(df, table)
-            assert f"missing required column(s): ['{column}']" in str(error.value)
+            assert f"lacks ['{column}']" in str(error.value)
             assert str(required) in str(error.value)
     assert validate_upload(spark.createDataFrame([("x",)], ["any"]), "unknown").count() == 1
 
