@@ -6,12 +6,16 @@ all of their rows. ``oracle_sql()`` holds the DuckDB text for the same keys.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import oracles
 from firstmonth import schemas
 from firstmonth.operators import (

@@ -33,17 +33,19 @@ def audit_by_table(tables: Tables) -> DataFrame:
 
 def audit(tables: Tables) -> DataFrame:
     """One row of counts over all three tables."""
-    counts = [
-        "missing_employee_ids",
-        "duplicate_records",
-        "invalid_timestamps",
-        "negative_resolution_times",
-    ]
-    return audit_by_table(tables).agg(*[F.sum(name).alias(name) for name in counts])
+    return audit_totals(audit_by_table(tables))
 
 
 def audit_warnings(tables: Tables) -> DataFrame:
     """One line of text per table and finding."""
+    return warning_lines(audit_by_table(tables))
+
+
+def audit_totals(by_table: DataFrame) -> DataFrame:
+    return by_table.agg(*[F.sum(name).alias(name) for name in by_table.columns if name != "table_name"])
+
+
+def warning_lines(by_table: DataFrame) -> DataFrame:
     # The wording of the two warnings.
     missing = F.format_string(
         "Found %d missing employee_ids in table '%s'.", F.col("missing_employee_ids"), F.col("table_name")
@@ -57,7 +59,7 @@ def audit_warnings(tables: Tables) -> DataFrame:
             F.when(F.col("duplicate_records") > 0, duplicates),
         )
     )
-    return audit_by_table(tables).select("table_name", F.explode(found).alias("warning"))
+    return by_table.select("table_name", F.explode(found).alias("warning"))
 
 
 def _audit_table(df: DataFrame, table: str) -> DataFrame:

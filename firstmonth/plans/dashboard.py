@@ -43,19 +43,20 @@ class Dashboard:
     pages: dict[str, dict[str, DataFrame]]
 
 
-def build_dashboard(raw: Tables, stage: str | None = None) -> Dashboard | None:
+def build_dashboard(raw: Tables, stage: str | None = None, ignore_keys: bool = False) -> Dashboard | None:
     """All frames for all employees or for the cohort of one stage; None when there are no rows at all.
 
     The cleaned tables are written once, cut to the columns the reports read, so that a dozen reports
-    do not each repeat the window join and the deduplication.
+    do not each repeat the window join and the deduplication. The audit counts are kept for the same reason.
     """
     if not raw.has_rows():
         return None
-    everyone = prepare(raw)
+    everyone = prepare(raw, ignore_keys)
+    audit_counts = quality.audit_by_table(raw).checkpoint()
     chosen = everyone.cohort(stage) if stage else everyone
     return Dashboard(
-        audit=quality.audit(raw),
-        audit_warnings=quality.audit_warnings(raw),
+        audit=quality.audit_totals(audit_counts),
+        audit_warnings=quality.warning_lines(audit_counts),
         stage_list=onboarding.stage_list(everyone.tables.onboarding),
         pages=build_pages(save_for_reports(chosen)),
     )

@@ -36,7 +36,7 @@ def replace_table(df: DataFrame, database: str, table: str) -> None:
     """Put ``df`` in the place of the table, columns included.
 
     The rows are written to a new folder and only then the name is pointed at it, so a failed job
-    leaves the old table untouched and ``df`` may be derived from the table itself.
+    leaves the old table untouched and ``df`` may be derived from the table itself. The old files stay.
     """
     spark = df.sparkSession
     folder = _folder(_location(spark, database), table)
