@@ -34,6 +34,7 @@ class DayZero:
     frame: DataFrame
     employees: int
     source_rows: int
+    most_rows: int  # of one employee
     size_bytes: int
     largest_row_bytes: int
     first_day: date | None
@@ -65,6 +66,8 @@ class DayZero:
         facts = facts.filter(F.col("employee_id").isNotNull()).filter(self._in_any_window(date_column))
         if self.fits_broadcast:
             return [facts.join(F.broadcast(self.dates), "employee_id")]
+        if self.most_rows <= self.heavy_threshold:
+            return [facts.join(self.dates.hint("merge"), "employee_id")]
         is_heavy = F.col("source_rows") > self.heavy_threshold
         heavy = self.frame.filter(is_heavy).select("employee_id", "joining_date")
         others = self.frame.filter(~is_heavy).select("employee_id", "joining_date")
@@ -124,6 +127,7 @@ def measure(
         sizes,
         F.count(F.lit(1)).alias("employees"),
         _sum(F.col("source_rows")).alias("source_rows"),
+        F.coalesce(F.max("source_rows"), F.lit(0)).alias("most_rows"),
         _sum(row_bytes).alias("size_bytes"),
         F.coalesce(F.max(row_bytes), F.lit(0)).alias("largest_row_bytes"),
         F.min("joining_date").alias("first_day"),

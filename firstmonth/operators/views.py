@@ -67,7 +67,7 @@ def first_30_days_support(support_requests: DataFrame, starts: DayZero) -> DataF
 
 
 def register_views(tables: Tables) -> None:
-    """Make the four views available to SQL. Day 0 is taken now; register again when the tables change."""
+    """Make the four views available to SQL. Day 0 is taken now: register again when the tables change."""
     starts = measure(onboarding_start_dates(tables.onboarding))
     employee_start_dates(tables.onboarding).createOrReplaceTempView(schemas.VIEW_START_DATES)
     first_30_days_onboarding(tables.onboarding, starts).createOrReplaceTempView(schemas.VIEW_ONBOARDING)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from firstmonth import schemas
+from firstmonth.sources.event_mapping import map_events, read_events
 from firstmonth.sources.tables import Tables
 
 COLUMNS = {
@@ -64,3 +67,16 @@ def only(df):
 
 def by(df, key):
     return {row[key]: row.asDict() for row in df.collect()}
+
+
+def skewed(spark, sf_dir):
+    """The event tables with one employee holding more than a third of all rows, many of them copies."""
+    t = map_events(read_events(spark, sf_dir))
+
+    def more(df):
+        hot = df.limit(1).select(*[F.lit("EMP-HOT").alias(c) if c == "employee_id" else F.col(c) for c in df.columns])
+        copies = hot.crossJoin(spark.range(2500)).drop("id")
+        others = df.filter(F.xxhash64(*df.columns) % 3 == 0).withColumn("employee_id", F.lit("EMP-HOT"))
+        return df.unionByName(copies).unionByName(others)
+
+    return Tables(*(more(df) for _, df in t.items()))

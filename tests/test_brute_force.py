@@ -99,13 +99,21 @@ def expected_points(onb, tool, sup):
     return points
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 1, "heavy_rows": 30}], ids=["broadcast", "shuffled"])
-def test_against_plain_loops(spark, seed, limits):
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("way", ["broadcast", "shuffled", "heavy"])
+def test_against_plain_loops(spark, seed, way):
+    limits = {
+        "broadcast": {},
+        "shuffled": {"broadcast_bytes": 1},
+        "heavy": {"broadcast_bytes": 1500, "heavy_rows": 30},
+    }[way]
     raw = random_rows(seed)
     onb, tool, sup = first_month(*raw)
     assert onb and tool and sup
-    t = prepare(tables(spark, *raw), **limits).tables
+    month = prepare(tables(spark, *raw), **limits)
+    t, zero = month.tables, month.day_zero
+    assert zero.fits_broadcast == (way == "broadcast")
+    assert (zero.most_rows > zero.heavy_threshold) == (way == "heavy")
 
     got = t.support_requests.select(*COLUMNS["support_requests"], "days_since_joining").collect()
     assert Counter(map(tuple, got)) == Counter(sup)

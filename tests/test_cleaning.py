@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from helpers import by, day, moment, only, tables, tool_usage
+from helpers import by, day, moment, only, skewed, tables, tool_usage
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
@@ -129,21 +129,8 @@ def cleaned_rows(first_month):
     }
 
 
-def skewed(spark):
-    """The event tables with one employee holding more than a third of all rows, many of them copies."""
-    t = map_events(read_events(spark, SF))
-
-    def more(df):
-        hot = df.limit(1).select(*[F.lit("EMP-HOT").alias(c) if c == "employee_id" else F.col(c) for c in df.columns])
-        copies = hot.crossJoin(spark.range(2500)).drop("id")
-        others = df.filter(F.xxhash64(*df.columns) % 3 == 0).withColumn("employee_id", F.lit("EMP-HOT"))
-        return df.unionByName(copies).unionByName(others)
-
-    return Tables(*(more(df) for _, df in t.items()))
-
-
 def test_every_join_strategy_gives_the_same_rows(spark):
-    t = skewed(spark)
+    t = skewed(spark, SF)
     broadcast = prepare(t)
     assert broadcast.day_zero.fits_broadcast
     everyone, cohort = cleaned_rows(broadcast), cleaned_rows(broadcast.cohort("Stage-3"))
@@ -155,7 +142,7 @@ def test_every_join_strategy_gives_the_same_rows(spark):
 
 
 def test_the_heavy_list_fits_the_broadcast_bound(spark):
-    zero = prepare(skewed(spark), broadcast_bytes=3000, heavy_rows=1).day_zero
+    zero = prepare(skewed(spark, SF), broadcast_bytes=3000, heavy_rows=1).day_zero
     heavy = zero.frame.filter(F.col("source_rows") > zero.heavy_threshold).count()
     assert zero.heavy_threshold > 1
     assert 1 <= heavy <= zero.source_rows / zero.heavy_threshold
