@@ -36,6 +36,14 @@ from firstmonth.sources.shared import shared_folder
 from firstmonth.sources.tables import Tables, register_tables, run_sql
 from firstmonth.sources.uploads import read_upload, trim_strings
 
+try:
+    import corpus_pipeline
+    from firstmonth.llm import registry as training_data
+except ModuleNotFoundError as missing:  # the package for training data and its pipeline can be left out
+    if missing.name not in ("corpus_pipeline", "firstmonth.llm"):
+        raise
+    training_data = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -48,7 +56,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    if training_data is None:
+        return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **training_data.oracle_sql(), **_pipeline_sql()}
+
+
+def _pipeline_sql() -> dict[str, str]:
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
 
 
 def queries() -> dict[str, Query]:
@@ -122,6 +136,9 @@ def queries() -> dict[str, Query]:
         lambda t: journey.journey_weekly_tickets(t.support_requests)
     )
     registered["overview_kpis"] = _on_first_month(overview.overview_kpis)
+    if training_data is not None:
+        registered.update(training_data.queries())
+        registered["pipeline"] = corpus_pipeline.run
     return registered
 
 
