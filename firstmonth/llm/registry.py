@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import huffman, packing, token_counts
+from firstmonth.llm import decontaminate, host_quality, huffman, packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,26 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_archive(spark, huffman.write_archive(_table(spark, sf_dir, "documents")))
 
 
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents."""
+    return host_quality.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents."""
     return token_counts.length_histogram(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
@@ -33,6 +53,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_huffman": op2_huffman,
+        "op4_host_quality": op4_host_quality,
+        "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
         "op8_packing": op8_packing,
     }
