@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import decontaminate, host_quality, huffman, packing, token_counts
+from firstmonth.llm import decontaminate, host_quality, huffman, packing, secret_scan, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_archive(spark, huffman.write_archive(_table(spark, sf_dir, "documents")))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credential parts in all documents."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents")).drop("links")
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all documents."""
     return host_quality.judge(_table(spark, sf_dir, "documents")).select(
@@ -45,18 +50,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(_table(spark, sf_dir, "documents")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the addresses of all pages."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to web archives and read them back by byte ranges."""
+    return warc.read(spark, warc.write(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_huffman": op2_huffman,
+        "op3_secret_scan": op3_secret_scan,
         "op4_host_quality": op4_host_quality,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op7_url_filter": op7_url_filter,
         "op8_packing": op8_packing,
+        "op9_warc": op9_warc,
     }
 
 
