@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import decontaminate, host_quality, huffman, packing, secret_scan, token_counts, url_filter, warc
+from firstmonth.llm import decontaminate, host_quality, huffman, langid, packing, secret_scan, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages and documents, by all evidence there is for them."""
+    documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    rows = langid.page_rows(pages).unionByName(langid.document_rows(documents))
+    return langid.identify(rows, langid.train(documents))
+
+
 def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents to Huffman files and decode them."""
     return huffman.read_archive(spark, huffman.write_archive(_table(spark, sf_dir, "documents")))
@@ -67,6 +74,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_huffman": op2_huffman,
         "op3_secret_scan": op3_secret_scan,
         "op4_host_quality": op4_host_quality,
