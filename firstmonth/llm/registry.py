@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import decontaminate, host_quality, huffman, langid, packing, secret_scan, token_counts, url_filter, warc
+from firstmonth.llm import decontaminate, host_quality, huffman, langid, lsh_forest, packing, secret_scan, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.write(_table(spark, sf_dir, "pages")))
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and links of all documents."""
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": op7_url_filter,
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
+        "op10_lsh_forest": op10_lsh_forest,
     }
 
 
