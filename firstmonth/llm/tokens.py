@@ -19,6 +19,7 @@ ID_TYPE = np.dtype("<u4")
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits, and no part of contractions
 
 
 def tokenizer_path() -> str:
@@ -29,16 +30,18 @@ class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids, equal to the library's for the whole text.
 
     A byte-level tokenizer never joins tokens across a space between two other characters: a new piece always
-    starts at that space. Such texts are cut there, and the library encodes each distinct piece once for as long
-    as the piece is among the ``limit`` ones kept. All other tokenizers get whole texts.
+    starts at that space. Such texts are cut there, and pieces of plain words are cut again at line ends and before
+    closing punctuation, where tokens never join either. The library encodes each distinct part once for as long as it is
+    among the ``limit`` ones kept. All other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes | None] = {}
         self.loose: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.long: list[tuple[dict, str]] = []
         self.mark = self._mark()
 
@@ -47,7 +50,7 @@ class Encoder:
             return [_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = [text.split(" ") for text in texts]
         self._learn(self.first, {p[0] for p in pieces}, "")
-        self._learn(self.inner, {x for p in pieces for x in p[1:]}, " ")
+        self._learn(self.inner, set().union(*pieces), " ")
         found, odd = [], []
         for i, p in enumerate(pieces):
             try:
@@ -58,38 +61,44 @@ class Encoder:
         if odd:
             cut = [_SAFE_SPACE.split(texts[i]) for i in odd]
             self._learn(self.first, {p[0] for p in cut}, "")
-            self._learn(self.loose, {x for p in cut for x in p[1:]}, " ")
+            self._learn(self.loose, set().union(*cut), " ")
             for i, p in zip(odd, cut):
                 found[i] = self.first[p[0]] + b"".join(map(self.loose.__getitem__, p[1:]))
         self._forget()
         return found
 
     def _learn(self, known: dict, pieces: set[str], before: str) -> None:
-        new = [x for x in pieces if x not in known]
+        new = list(pieces.difference(known))
+        cut = [_parts(before + x) for x in new]
+        self._encode_parts(set().union(*cut).difference(self.parts))
+        for x, parts in zip(new, cut):
+            known[x] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        self.long += [(known, x) for x in new if len(x) > _LONG]
+        if known is self.inner:
+            for x in new:
+                if not x or x[0].isspace() or x[-1].isspace():
+                    known[x] = None
+
+    def _encode_parts(self, new: set[str]) -> None:
         plain = [x for x in new if self.mark not in x]
         for at in range(0, len(plain), 10_000):
             part = plain[at : at + 10_000]
-            joined = self.mark.join(before + x for x in part)
-            ids = _array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids)
+            ids = _array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
             size = ID_TYPE.itemsize
             for x, start, end in zip(part, (starts * size).tolist(), (ends * size).tolist()):
-                known[x] = raw[start:end]
+                self.parts[x] = raw[start:end]
         for x in new:
             if self.mark in x:
-                known[x] = _bytes(self.tokenizer.encode(before + x, add_special_tokens=False).ids)
-        self.long += [(known, x) for x in new if len(x) > _LONG]
-        if known is self.inner:
-            for x in new:
-                if not x or x[0].isspace() or x[-1].isspace():
-                    known[x] = None
+                self.parts[x] = _bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+        self.long += [(self.parts, x) for x in new if len(x) > _LONG]
 
     def _forget(self) -> None:
         for known, x in self.long:
             known.pop(x, None)
         self.long.clear()
-        for known in (self.first, self.inner, self.loose):
+        for known in (self.first, self.inner, self.loose, self.parts):
             if len(known) > self.limit:
                 known.clear()
 
@@ -106,6 +115,21 @@ class Encoder:
         return added[0]["content"]
 
 
+def _parts(piece: str) -> list[str]:
+    """``piece``, which may start with a space, cut where it is plain to see that no token goes across."""
+    if "\n" not in piece:
+        word = piece.rstrip(_TAIL)
+        return [word, piece[len(word) :]] if len(word) < len(piece) and word.lstrip(" ").isalpha() else [piece]
+    lines = piece.split("\n")
+    if not all(x and not x[-1].isspace() and not (i and x[0].isspace()) for i, x in enumerate(lines)):
+        return [piece]  # white space runs: left to the library
+    parts = _parts(lines[0])
+    for line in lines[1:]:
+        parts.append("\n")
+        parts += _parts(line)
+    return parts
+
+
 _encoders: dict[str, Encoder] = {}
 
 
