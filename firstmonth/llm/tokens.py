@@ -99,8 +99,8 @@ class Encoder:
             known.pop(x, None)
         self.long.clear()
         for known in (self.first, self.inner, self.loose, self.parts):
-            if len(known) > self.limit:
-                known.clear()
+            if len(known) > (self.limit if known is self.parts else self.limit // 2):
+                known.clear()  # what is frequent is soon known again
 
     def _mark(self) -> str | None:
         """A special token to put between pieces, if texts may be cut at spaces at all."""
