@@ -27,7 +27,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if options.command == "import":
         sinks.replace_table(read_upload(spark, options.csv, options.table), options.database, options.table)
     elif options.command == "report":
-        report(spark, options.database, options.out, options.stage)
+        report(spark, options.database, options.out, options.stage, options.ignore_keys)
     elif options.command == "sql":
         tables = load_catalog_tables(spark, options.database)
         register_tables(tables)
@@ -36,9 +36,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         run_sql(spark, options.query, params).write.parquet(options.out)
 
 
-def report(spark: SparkSession, database: str, out: str, stage: str | None = None) -> None:
+def report(spark: SparkSession, database: str, out: str, stage: str | None = None, ignore_keys: bool = False) -> None:
     """One folder per frame. Nothing is written when all tables are empty."""
-    board = build_dashboard(load_catalog_tables(spark, database), stage)
+    board = build_dashboard(load_catalog_tables(spark, database), stage, ignore_keys)
     if board is None:
         print("No rows in any of the three tables.")
         return
@@ -58,6 +58,7 @@ def _parser() -> argparse.ArgumentParser:
     upload.add_argument("--csv", required=True)
     pages = commands.add_parser("report")
     pages.add_argument("--stage", help="only employees seen at this onboarding stage")
+    pages.add_argument("--ignore-keys", action="store_true", help="rows that differ in their key only are copies")
     query = commands.add_parser("sql")
     query.add_argument("--query", required=True)
     query.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")

@@ -27,13 +27,19 @@ def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(WHITESPACE))
 
 
+def blank_to_null(column: Column) -> Column:
+    """Trimmed text; null where nothing is left."""
+    return F.nullif(strip(column), F.lit(""))
+
+
 def number_or_null(column: Column) -> Column:
     """Text to double; anything that is not a plain decimal number becomes null."""
     return F.when(column.rlike(_NUMBER), strip(column).try_cast("double"))
 
 
 def moment_or_raise(column: Column) -> Column:
-    """Text to a UTC timestamp without a zone; text with an offset is moved to UTC (in a UTC session)."""
+    """Text to a UTC timestamp without a zone; text with an offset is moved to UTC (in a UTC session). Blank is null."""
+    column = blank_to_null(column)
     moved = column.cast("timestamp").cast("timestamp_ntz")
     return F.when(column.rlike(_OFFSET), moved).otherwise(column.cast("timestamp_ntz"))
 

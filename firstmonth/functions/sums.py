@@ -1,27 +1,53 @@
-"""Sums of fractional numbers that do not depend on the order of the rows."""
+"""Sums of fractional numbers that do not depend on the order of the rows.
+
+A number is cut into a multiple of 2^20 and a rest, both kept as decimals and added apart: adding decimals gives the same
+total in any order and after any retry. Only what no decimal holds (infinities, NaN, about 1e44 and more, or totals
+like that) falls back to plain addition.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXACT = "decimal(38,18)"
-_LARGEST_EXACT = 1e15
+_STEP = float(1 << 20)
+
+
+def _high(x: Column) -> Column:
+    return (x / _STEP).try_cast("decimal(38,0)")
+
+
+def _low(x: Column) -> Column:
+    return (x - _high(x).cast("double") * _STEP).try_cast("decimal(38,18)")
+
+
+def exact_parts(x: Column) -> Column:
+    """Aggregate: the sums of doubles ``x`` as a struct that ``merged_parts`` adds up further."""
+    high, low = F.try_sum(_high(x)), F.try_sum(_low(x))
+    overflown = (F.count(x) > 0) & (high.isNull() | low.isNull())
+    beyond = F.count_if(x.isNotNull() & (_high(x).isNull() | _low(x).isNull())) + overflown.cast("int")
+    return F.struct(high.alias("high"), low.alias("low"), beyond.alias("beyond"), F.sum(x).alias("plain"))
 
 
-def exact(x: Column) -> Column:
-    """The number as a decimal; adding decimals gives the same total in any order and after any retry."""
-    return x.try_cast(_EXACT)
+def merged_parts(parts: Column) -> Column:
+    """Aggregate: the sum of structs made by ``exact_parts``."""
+    return F.struct(
+        F.try_sum(parts["high"]).alias("high"),
+        F.try_sum(parts["low"]).alias("low"),
+        F.sum(parts["beyond"]).alias("beyond"),
+        F.sum(parts["plain"]).alias("plain"),
+    )
 
 
-def exact_total(x: Column, largest: Column, fallback: Column) -> Column:
-    """Aggregate: total of decimals from ``exact``, or the plain total where a number is too large for one."""
-    return F.when(F.max(largest) < _LARGEST_EXACT, F.sum(x).cast("double")).otherwise(F.sum(fallback))
+def parts_total(parts: Column) -> Column:
+    """The total as a double; null without any number."""
+    total = parts["high"].cast("double") * _STEP + parts["low"].cast("double")
+    return F.coalesce(F.when(parts["beyond"] == 0, total), parts["plain"])
 
 
 def exact_sum(x: Column) -> Column:
     """Aggregate: total of doubles; null without any."""
-    return exact_total(exact(x), F.abs(x), x)
+    return parts_total(exact_parts(x))
 
 
 def exact_mean(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstmonth.functions.rounding import one_decimal, round_exact
-from firstmonth.functions.sums import exact, exact_total
+from firstmonth.functions.sums import exact_parts, merged_parts, parts_total
 from firstmonth.operators.tools import per_tool_and_employee
 from firstmonth.sources.tables import Tables
 
@@ -135,13 +135,11 @@ def _support_categories(support_requests: DataFrame) -> DataFrame:
         .groupBy("request_category", "employee_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(exact(hours)).alias("exact_hours"),
-            F.sum(hours).alias("hours"),
-            F.max(hours).alias("most_hours"),
+            exact_parts(hours).alias("hours"),
             F.count(hours).alias("timed"),
         )
     )
-    total = exact_total(F.col("exact_hours"), F.col("most_hours"), F.col("hours"))
+    total = parts_total(merged_parts(F.col("hours")))
     mean = F.try_divide(total, F.sum("timed"))
     return per_employee.groupBy(F.col("request_category").alias("name")).agg(
         F.sum("n").alias("frequency"),

@@ -26,14 +26,20 @@ def deduplicate(df: DataFrame, ignore: list[str] | None = None) -> DataFrame:
     )
 
 
-def audit_by_table(tables: Tables) -> DataFrame:
-    """Counts per table. Missing employees are counted before deduplication, bad values after it."""
-    return reduce(DataFrame.unionByName, [_audit_table(df, name) for name, df in tables.items()])
+def audit_by_table(tables: Tables, ignore_keys: bool = False) -> DataFrame:
+    """Counts per table. Missing employees are counted before deduplication, bad values after it.
+
+    With ``ignore_keys`` rows that differ in their surrogate key only are copies, as for cleaning.
+    """
+    parts = []
+    for name, df in tables.items():
+        parts.append(_audit_table(df.drop(schemas.PRIMARY_KEYS[name]) if ignore_keys else df, name))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def audit(tables: Tables) -> DataFrame:
+def audit(tables: Tables, ignore_keys: bool = False) -> DataFrame:
     """One row of counts over all three tables."""
-    return audit_totals(audit_by_table(tables))
+    return audit_totals(audit_by_table(tables, ignore_keys))
 
 
 def audit_warnings(tables: Tables) -> DataFrame:

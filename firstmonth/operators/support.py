@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firstmonth.functions.predicates import differs, first_by
 from firstmonth.functions.rounding import round_exact, round_scaled
-from firstmonth.functions.sums import exact, exact_mean, exact_total
+from firstmonth.functions.sums import exact_mean, exact_parts, merged_parts, parts_total
 
 
 def support_category_summary(support_requests: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def support_category_summary(support_requests: DataFrame) -> DataFrame:
 def support_kpis(support_requests: DataFrame) -> DataFrame:
     """One row: totals, mean resolution time, the most common and the slowest category."""
     category, total = F.col("request_category"), F.sum("total_requests")
-    hours = exact_total(F.col("exact_hours"), F.col("most_hours"), F.col("hours"))
+    hours = parts_total(merged_parts(F.col("hours")))
     return (
         _per_category(support_requests)
         .agg(
@@ -67,8 +67,6 @@ def _per_category(support_requests: DataFrame) -> DataFrame:
     return support_requests.groupBy("request_category").agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(differs(F.col("request_status"), "Resolved")).alias("unresolved_count"),
-        F.sum(exact(hours)).alias("exact_hours"),
-        F.sum(hours).alias("hours"),
-        F.max(hours).alias("most_hours"),
+        exact_parts(hours).alias("hours"),
         exact_mean(hours).alias("mean_hours"),
     ).withColumn("avg_resolution_hours", F.coalesce(round_scaled(F.col("mean_hours"), 2), F.lit(0.0)))

@@ -52,7 +52,7 @@ def build_dashboard(raw: Tables, stage: str | None = None, ignore_keys: bool = F
     if not raw.has_rows():
         return None
     everyone = prepare(raw, ignore_keys)
-    audit_counts = quality.audit_by_table(raw).checkpoint()
+    audit_counts = quality.audit_by_table(raw, ignore_keys).checkpoint()
     chosen = everyone.cohort(stage) if stage else everyone
     return Dashboard(
         audit=quality.audit_totals(audit_counts),

@@ -6,12 +6,15 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firstmonth import schemas
-from firstmonth.functions.predicates import moment_or_raise, number_or_null
+from firstmonth.functions.predicates import blank_to_null, moment_or_raise, number_or_null
+
+
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     types = {field.name: field.dataType for field in df.schema}
     if all(fields.get(name, kind) == kind for name, kind in types.items()) and set(defaults) <= set(types):
         return df
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"Times are stored in UTC; set spark.sql.session.timeZone to UTC, not {zone}.")
     columns = []
     for name in df.columns:
         column = F.col(f"`{name}`")
@@ -49,6 +55,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             column = number_or_null(column)
         elif isinstance(fields.get(name), T.TimestampNTZType) and is_text:
             column = moment_or_raise(column)
+        elif name in fields and is_text and not isinstance(fields[name], T.StringType):
+            column = blank_to_null(column).cast(fields[name])
         elif name in fields:
             column = column.cast(fields[name])
         columns.append(column.alias(name))
@@ -79,17 +87,44 @@ def load_jdbc_table(
     url: str,
     properties: Mapping[str, str],
     partition_column: str | None = None,
-    lower: int = 0,
-    upper: int = 0,
-    partitions: int = 1,
+    lower: int | None = None,
+    upper: int | None = None,
+    partitions: int = 32,
+    single_task: bool = False,
 ) -> DataFrame:
-    """One table of an operational database, read in parallel key ranges when a key is given."""
+    """One table of an operational database, read in parallel ranges of a numeric key.
+
+    Bounds that are not given come from one ``min``/``max`` query. Reading all of it in one task has to be asked for.
+    """
+    if single_task:
+        return conform(_jdbc(spark, url, table, properties, {}).load(), table)
+    if not partition_column:
+        raise ValueError(f"Name a numeric key of {table} to read it in parallel, or ask for a single task.")
+    if lower is None or upper is None:
+        query = f"(select min({partition_column}) as low, max({partition_column}) as high from {table}) bounds"
+        found = _jdbc(spark, url, query, properties, {}).load().first()
+        lower = found["low"] if lower is None else lower
+        upper = found["high"] if upper is None else upper
+    return conform(_jdbc(spark, url, table, properties, range_options(partition_column, lower, upper, partitions)).load(), table)
+
+
+def range_options(partition_column: str, lower: int | None, upper: int | None, partitions: int) -> dict[str, Any]:
+    """Options for a read in ``partitions`` ranges; a key with one value or none needs a single range."""
+    if lower is None or upper is None or lower == upper:
+        return {}
+    if lower > upper or partitions < 1:
+        raise ValueError(f"No ranges from {lower} to {upper} in {partitions} parts.")
+    return {
+        "partitionColumn": partition_column,
+        "lowerBound": int(lower),
+        "upperBound": int(upper) + 1,
+        "numPartitions": partitions,
+    }
+
+
+def _jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str, str], ranges: Mapping[str, Any]) -> DataFrameReader:
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, preferTimestampNTZ="true", **properties)
-    if partition_column:
-        reader = reader.options(
-            partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions
-        )
-    return conform(reader.load(), table)
+    return reader.options(**ranges)
 
 
 def register_tables(tables: Tables) -> None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampNTZType
 
 from firstmonth import schemas
-from firstmonth.functions.predicates import WHITESPACE, strip
+from firstmonth.functions.predicates import WHITESPACE, blank_to_null, strip
 from firstmonth.sources.tables import conform
 
 # Cells that mean "missing".
@@ -15,24 +18,70 @@ MISSING_MARKS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+#: Tried in this order; month before day where both fit.
+DATE_FORMATS = [
+    f"{day}[ H:mm[:ss]]"
+    for day in (
+        "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+        "d.M.yyyy", "yyyyMMdd",
+    )
+]
+
+_CORRUPT, _FILE = "__row_text", "__file"
+
 BYTE_ORDER_MARK = "\ufeff"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, named by the header; missing marks become null.
 
-    Files are split between tasks, unless a quoted cell holds a line break.
+    Files are split between tasks, except those in which a quoted cell holds a line break. A row with more cells than
+    the header is an error; one with fewer ends in missing cells.
     """
-    reader = spark.read.options(header=True, escape='"', enforceSchema=False)
-    df = reader.csv(path, multiLine=has_line_breaks(spark, path))
-    cells = [(F.col(f"`{name}`"), name) for name in df.columns]
+    broken = set(files_with_line_breaks(spark, path))
+    plain = sorted(_files(spark.read.text(path)) - broken) if broken else [path]
+    parts = [_read(spark, files, lines) for files, lines in ((plain, False), (sorted(broken), True)) if files]
+    df = reduce(DataFrame.unionByName, parts)
+    cells = [(F.col(f"`{name}`"), name) for name in df.columns if name not in (_CORRUPT, _FILE)]
+    _refuse_long_rows(df, len(cells))
     return df.select(*[F.when(~cell.isin(MISSING_MARKS), cell).alias(name) for cell, name in cells])
 
 
+def _read(spark: SparkSession, files: list[str], multi_line: bool) -> DataFrame:
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False, multiLine=multi_line)
+    names = reader.csv(files).columns
+    schema = StructType([StructField(name, StringType()) for name in [*names, _CORRUPT]])
+    rows = reader.options(columnNameOfCorruptRecord=_CORRUPT, columnPruning=False).schema(schema).csv(files)
+    return rows.withColumn(_FILE, F.col("_metadata.file_path"))
+
+
+def _refuse_long_rows(df: DataFrame, n_cells: int) -> None:
+    """Spark marks rows of another length than the header; of those, count the ones with a cell beyond it."""
+    beyond = ", ".join(f"c{i} string" for i in range(n_cells + 1))
+    extra = F.from_csv(F.col(_CORRUPT), beyond, {"escape": '"'})[f"c{n_cells}"]
+    any_cell = F.length(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))) >= 0  # Spark asks for a column of the file itself
+    long_rows = df.where(F.col(_CORRUPT).isNotNull() & any_cell).where(extra.isNotNull())
+    found = long_rows.groupBy(_FILE).agg(F.count(F.lit(1)).alias("n")).orderBy(_FILE).limit(5).collect()
+    if found:
+        where = ", ".join(f"{row['n']} in {row[_FILE]}" for row in found)
+        raise ValueError(f"Rows with more cells than the header: {where}.")
+
+
+def files_with_line_breaks(spark: SparkSession, path: str) -> list[str]:
+    """Files in which a line ends inside a quoted cell. A quote opens one only at the start of a cell."""
+    lines = spark.read.text(path)
+    whole = F.regexp_replace("value", r'(^|,)\s*"[^"]*+(?:""[^"]*+)*+"(?=\s*(?:,|$))', "$1")
+    opened = lines.where(whole.rlike(r'(^|,)\s*"'))
+    return sorted(_files(opened))
+
+
+def _files(lines: DataFrame) -> set[str]:
+    return {row[0] for row in lines.select(F.col("_metadata.file_path")).distinct().collect()}
+
+
 def has_line_breaks(spark: SparkSession, path: str) -> bool:
-    """True when a line ends inside quotes, that is, when some line holds an odd number of them."""
-    quotes = F.regexp_count("value", F.lit('"'))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    """True when a quoted cell of any file holds a line break."""
+    return bool(files_with_line_breaks(spark, path))
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -59,4 +108,32 @@ def validate_upload(df: DataFrame, table: str) -> DataFrame:
 
 def read_upload(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A CSV upload, validated and in the table's declared types."""
-    return conform(validate_upload(read_csv(spark, path), table), table)
+    return conform(parse_dates(validate_upload(read_csv(spark, path), table), table), table)
+
+
+def parse_dates(df: DataFrame, table: str) -> DataFrame:
+    """Bring date columns that are not ISO text into it, by the first of ``DATE_FORMATS`` that fits the whole column.
+
+    Columns that no format fits stay as they are and fail in ``conform``. One pass looks at all date columns.
+    """
+    kinds = {f.name: f.dataType for f in schemas.SCHEMAS[table] if isinstance(f.dataType, (DateType, TimestampNTZType))}
+    names = [name for name in df.columns if name in kinds]
+    if not names:
+        return df
+
+    def parsed(name: str, pattern: str) -> Column:
+        return F.try_to_timestamp(blank_to_null(F.col(f"`{name}`")), F.lit(pattern))
+
+    def misfits(name: str, value: Column) -> Column:
+        return F.count_if(blank_to_null(F.col(f"`{name}`")).isNotNull() & value.isNull())
+
+    checks = []
+    for i, name in enumerate(names):
+        checks.append(misfits(name, blank_to_null(F.col(f"`{name}`")).try_cast("timestamp")).alias(f"{i}:iso"))
+        checks += [misfits(name, parsed(name, p)).alias(f"{i}:{j}") for j, p in enumerate(DATE_FORMATS)]
+    found = df.agg(*checks).first()
+    for i, name in enumerate(names):
+        fit = next((p for j, p in enumerate(DATE_FORMATS) if not found[f"{i}:{j}"]), None)
+        if found[f"{i}:iso"] and fit:
+            df = df.withColumn(name, parsed(name, fit).cast("timestamp_ntz").cast("string"))
+    return df

@@ -121,3 +121,15 @@ def test_exact_sum_of_large_and_missing_numbers(spark):
     assert tuple(total(1e30, 1.0)) == (1e30 + 1.0, 5e29)
     assert tuple(total(None, None)) == (None, None)
     assert tuple(total(1.5, None)) == (1.5, 1.5)
+
+
+def test_exact_sums_do_not_overflow(spark):
+    def total(df):
+        return df.agg(sums.exact_sum(F.col("x"))).first()[0]
+
+    assert total(spark.createDataFrame([(9e19,)] * 3, "x double")) == 2.7e20
+    assert total(spark.range(200_000).select(F.lit(9e14).alias("x"))) == 1.8e20
+    assert total(spark.createDataFrame([(9e43,)] * 3, "x double")) == pytest.approx(2.7e44)  # plain addition
+    merged = spark.range(200_000).select(F.lit(9e14).alias("x"), (F.col("id") % 7).alias("g"))
+    merged = merged.groupBy("g").agg(sums.exact_parts(F.col("x")).alias("p"))
+    assert merged.agg(sums.parts_total(sums.merged_parts(F.col("p")))).first()[0] == 1.8e20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from datetime import date, datetime
 from pathlib import Path
@@ -47,7 +48,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(SQL)
+    own = {name for name in registry.queries() if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own <= set(SQL) <= set(registry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

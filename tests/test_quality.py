@@ -100,3 +100,13 @@ def test_split_violations_keeps_every_row(spark):
         ("resolution_time_not_negative",),
         ("resolution_time_not_negative",),
     ]
+
+
+def test_audit_counts_what_cleaning_drops_when_keys_are_ignored(spark):
+    t = dirty(spark)
+    rows = t.tool_usage.withColumn("usage_id", F.monotonically_increasing_id())
+    keyed = Tables(t.onboarding, rows.unionByName(rows.withColumn("usage_id", F.col("usage_id") + 1_000)), t.support_requests)
+    strict, loose = (by(quality.audit_by_table(keyed, flag), "table_name")["tool_usage"] for flag in (False, True))
+    assert strict["duplicate_records"] == 0
+    left = quality.deduplicate(keyed.tool_usage, ["usage_id"]).count()
+    assert loose["duplicate_records"] == keyed.tool_usage.count() - left > 0

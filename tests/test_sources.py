@@ -9,8 +9,16 @@ from firstmonth import schemas
 from firstmonth.operators import views
 from firstmonth.sources import sinks
 from firstmonth.sources.shared import shared_folder
-from firstmonth.sources.tables import load_catalog_tables, load_tables, register_tables, run_sql
-from firstmonth.sources.uploads import has_line_breaks, read_csv, read_upload, validate_upload
+from firstmonth.sources.tables import (
+    conform,
+    load_catalog_tables,
+    load_jdbc_table,
+    load_tables,
+    range_options,
+    register_tables,
+    run_sql,
+)
+from firstmonth.sources.uploads import files_with_line_breaks, has_line_breaks, read_csv, read_upload, validate_upload
 
 
 @pytest.fixture
@@ -151,3 +159,70 @@ def test_shared_folder_is_the_configured_one(spark):
     folder = shared_folder(spark)
     assert folder == named if named else folder
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_blank_dates_and_numbers_are_missing(spark, tmp_path):
+    text = "employee_id,onboarding_stage,start_date,completion_date\nE1,S1,2024-01-01,  \nE2,S1, ,2024-01-03\n"
+    got = by(read_upload(spark, csv_file(tmp_path, text), schemas.ONBOARDING), "employee_id")
+    assert got["E1"]["completion_date"] is None and got["E2"]["start_date"] is None
+    assert str(got["E2"]["completion_date"]) == "2024-01-03"
+
+
+def test_rows_longer_than_the_header_are_refused(spark, tmp_path):
+    head = "employee_id,onboarding_stage,start_date\n"
+    for row in ("E2,S1,2024-01-01,LOST\n", 'E2,"S,1",2024-01-01,"a ""b"""\n'):
+        with pytest.raises(ValueError, match="more cells than the header: 1 in .*upload.csv"):
+            read_upload(spark, csv_file(tmp_path, head + "E1,S1,2024-01-01\n" + row), schemas.ONBOARDING)
+    short = read_upload(spark, csv_file(tmp_path, head + 'E1,"S,1",2024-01-01\nE2,S1\nE3,S1,2024-01-01,\n'), schemas.ONBOARDING)
+    assert {r.employee_id: r.start_date is None for r in short.collect()} == {"E1": False, "E2": True, "E3": False}
+
+
+@pytest.mark.parametrize(
+    ("cells", "expected"),
+    [
+        (["01/15/2024", "02/03/2024"], ["2024-01-15", "2024-02-03"]),
+        (["15/01/2024", "02/03/2024"], ["2024-01-15", "2024-03-02"]),
+        (["15-Jan-2024", "3-Feb-2024"], ["2024-01-15", "2024-02-03"]),
+        (['"Jan 15, 2024"', '"Feb 3, 2024"'], ["2024-01-15", "2024-02-03"]),
+    ],
+)
+def test_other_date_formats(spark, tmp_path, cells, expected):
+    text = "employee_id,onboarding_stage,start_date\n" + "".join(f"E{i},S,{c}\n" for i, c in enumerate(cells))
+    got = by(read_upload(spark, csv_file(tmp_path, text), schemas.ONBOARDING), "employee_id")
+    assert [str(got[f"E{i}"]["start_date"]) for i in range(len(cells))] == expected
+
+
+def test_dates_that_fit_no_format_fail(spark, tmp_path):
+    text = "employee_id,onboarding_stage,start_date\nE1,S,01/15/2024\nE2,S,soon\n"
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_upload(spark, csv_file(tmp_path, text), schemas.ONBOARDING).collect()
+
+
+def test_only_files_with_line_breaks_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "uploads"
+    folder.mkdir()
+    head = "employee_id,onboarding_stage,start_date\n"
+    (folder / "a.csv").write_text(head + 'a,"first\nstep",2026-01-05\n')
+    (folder / "b.csv").write_text(head + 'b,5" disk,2026-01-05\nc,say "x,2026-01-06\n')
+    assert [name.rsplit("/", 1)[1] for name in files_with_line_breaks(spark, str(folder))] == ["a.csv"]
+    got = by(read_csv(spark, str(folder)), "employee_id")
+    assert {k: v["onboarding_stage"] for k, v in got.items()} == {"a": "first\nstep", "b": '5" disk', "c": 'say "x'}
+
+
+def test_ranges_of_a_database_table(spark):
+    assert range_options("id", 1, 100, 8) == {"partitionColumn": "id", "lowerBound": 1, "upperBound": 101, "numPartitions": 8}
+    assert range_options("id", 5, 5, 8) == {} == range_options("id", None, None, 8)
+    with pytest.raises(ValueError):
+        range_options("id", 9, 1, 8)
+    with pytest.raises(ValueError, match="numeric key"):
+        load_jdbc_table(spark, "tool_usage", "jdbc:none", {})
+
+
+def test_times_need_a_utc_session(spark):
+    df = spark.createDataFrame([("a", "S", "2026-01-05")], "employee_id string, onboarding_stage string, start_date string")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            conform(df, schemas.ONBOARDING)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
