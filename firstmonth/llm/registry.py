@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import decontaminate, host_quality, huffman, langid, lsh_forest, packing, secret_scan, token_counts, url_filter, warc
+from firstmonth.llm import decontaminate, host_quality, huffman, langid, lsh_forest, oracle, packing, secret_scan, token_counts, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,4 +93,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
