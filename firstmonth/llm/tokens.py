@@ -26,45 +26,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class _Recent:
-    """What was looked up lately: two generations of about ``limit`` pieces and their ids each."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.new: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.long: list[str] = []
-
-    def missing(self, pieces: set[str]) -> list[str]:
-        """The unknown ones of ``pieces``; all others are in ``new`` from now on."""
-        gone = pieces.difference(self.new)
-        if self.old:
-            back = {x: self.old[x] for x in gone if x in self.old}
-            self.new.update(back)
-            gone = gone.difference(back)
-        self.long += [x for x in gone if len(x) > _LONG]
-        return list(gone)
-
-    def forget(self) -> None:
-        for x in self.long:
-            self.new.pop(x, None)
-        self.long.clear()
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-
-
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids, equal to the library's for the whole text.
 
     A byte-level tokenizer never joins tokens across a space between two other characters: a new piece always
     starts at that space. Such texts are cut there, and pieces of plain words are cut again at line ends and before
     closing punctuation, where tokens never join either. The library encodes each distinct part once for as long as it is
-    among the recent ones, about ``limit`` each for pieces and parts. All other tokenizers get whole texts.
+    among the ``limit`` ones kept. All other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.inner, self.loose, self.parts = (_Recent(limit // 2) for _ in range(4))
+        self.limit = limit
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes | None] = {}
+        self.loose: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.long: list[tuple[dict, str]] = []
         self.mark = self._mark()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -76,7 +54,7 @@ class Encoder:
         found, odd = [], []
         for i, p in enumerate(pieces):
             try:
-                found.append(self.first.new[p[0]] + b"".join(map(self.inner.new.__getitem__, p[1:])))
+                found.append(self.first[p[0]] + b"".join(map(self.inner.__getitem__, p[1:])))
             except TypeError:  # white space next to a space
                 found.append(b"")
                 odd.append(i)
@@ -85,25 +63,23 @@ class Encoder:
             self._learn(self.first, {p[0] for p in cut}, "")
             self._learn(self.loose, set().union(*cut), " ")
             for i, p in zip(odd, cut):
-                found[i] = self.first.new[p[0]] + b"".join(map(self.loose.new.__getitem__, p[1:]))
-        for known in (self.first, self.inner, self.loose, self.parts):
-            known.forget()
+                found[i] = self.first[p[0]] + b"".join(map(self.loose.__getitem__, p[1:]))
+        self._forget()
         return found
 
-    def _learn(self, known: _Recent, pieces: set[str], before: str) -> None:
-        new = known.missing(pieces)
+    def _learn(self, known: dict, pieces: set[str], before: str) -> None:
+        new = list(pieces.difference(known))
         cut = [_parts(before + x) for x in new]
-        self._encode_parts(self.parts.missing(set().union(*cut)))
-        ids = self.parts.new
+        self._encode_parts(set().union(*cut).difference(self.parts))
         for x, parts in zip(new, cut):
-            known.new[x] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
+            known[x] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        self.long += [(known, x) for x in new if len(x) > _LONG]
         if known is self.inner:
             for x in new:
                 if not x or x[0].isspace() or x[-1].isspace():
-                    known.new[x] = None
+                    known[x] = None
 
-    def _encode_parts(self, new: list[str]) -> None:
-        ids_of = self.parts.new
+    def _encode_parts(self, new: set[str]) -> None:
         plain = [x for x in new if self.mark not in x]
         for at in range(0, len(plain), 10_000):
             part = plain[at : at + 10_000]
@@ -112,10 +88,19 @@ class Encoder:
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
             size = ID_TYPE.itemsize
             for x, start, end in zip(part, (starts * size).tolist(), (ends * size).tolist()):
-                ids_of[x] = raw[start:end]
+                self.parts[x] = raw[start:end]
         for x in new:
             if self.mark in x:
-                ids_of[x] = _bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+                self.parts[x] = _bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+        self.long += [(self.parts, x) for x in new if len(x) > _LONG]
+
+    def _forget(self) -> None:
+        for known, x in self.long:
+            known.pop(x, None)
+        self.long.clear()
+        for known in (self.first, self.inner, self.loose, self.parts):
+            if len(known) > self.limit:
+                known.clear()
 
     def _mark(self) -> str | None:
         """A special token to put between pieces, if texts may be cut at spaces at all."""
