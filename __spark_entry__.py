@@ -177,7 +177,12 @@ def _custom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views.register_views(_database(spark, sf_dir))
+    """The views are registered over empty tables and follow what is stored later."""
+    database = _new_database(spark)
+    sinks.create_tables(spark, database)
+    views.register_catalog_views(spark, database)
+    for name, df in _database(spark, sf_dir).items():
+        sinks.append_rows(df, database, name)
     sql = f"""
         select tool_name, count(*) as events, count(distinct employee_id) as employees
         from {schemas.VIEW_TOOL_USAGE} where usage_status = :status group by tool_name"""

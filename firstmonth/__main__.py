@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from firstmonth import schemas
-from firstmonth.operators.views import register_views
+from firstmonth.operators.views import register_catalog_views
 from firstmonth.plans.dashboard import build_dashboard
 from firstmonth.session import build_session
 from firstmonth.sources import sinks
@@ -31,7 +31,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif options.command == "sql":
         tables = load_catalog_tables(spark, options.database)
         register_tables(tables)
-        register_views(tables)
+        register_catalog_views(spark, options.database)
         params = dict(pair.split("=", 1) for pair in options.param)
         run_sql(spark, options.query, params).write.parquet(options.out)
 

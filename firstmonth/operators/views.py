@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
@@ -66,8 +66,45 @@ def first_30_days_support(support_requests: DataFrame, starts: DayZero) -> DataF
     )
 
 
+def register_catalog_views(spark: SparkSession, database: str) -> None:
+    """Make the four views available to SQL as text over the stored tables: they follow every later change.
+
+    Day 0 is grouped and joined when a view is read; Spark picks the join by the sizes it sees then.
+    """
+    start_dates = f"SELECT employee_id, min(start_date) AS joining_date FROM {database}.{schemas.ONBOARDING} GROUP BY employee_id"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {schemas.VIEW_START_DATES} AS {start_dates}")
+    tail = {
+        schemas.ONBOARDING: """datediff(t.start_date, s.joining_date) AS start_day_offset,
+            datediff(t.completion_date, t.start_date) AS stage_duration_days""",
+        schemas.TOOL_USAGE: "datediff(CAST(t.usage_date AS DATE), s.joining_date) AS days_since_joining",
+        schemas.SUPPORT_REQUESTS: "datediff(CAST(t.request_date AS DATE), s.joining_date) AS days_since_joining",
+    }
+    names = {
+        schemas.ONBOARDING: schemas.VIEW_ONBOARDING,
+        schemas.TOOL_USAGE: schemas.VIEW_TOOL_USAGE,
+        schemas.SUPPORT_REQUESTS: schemas.VIEW_SUPPORT,
+    }
+    for table, view in names.items():
+        present = spark.table(f"{database}.{table}").columns
+        cells = []
+        for field in schemas.SCHEMAS[table]:
+            if field.name in present:
+                cells.append(f"t.{field.name}")
+            else:  # an imported upload has no key, and may lack optional columns
+                default = schemas.OPTIONAL_DEFAULTS[table].get(field.name)
+                literal = "NULL" if default is None else f"'{default}'"
+                cells.append(f"CAST({literal} AS {field.dataType.simpleString()}) AS {field.name}")
+        at = f"t.{schemas.EVENT_DATE[table]}"
+        spark.sql(
+            f"""CREATE OR REPLACE TEMPORARY VIEW {view} AS
+            SELECT {", ".join([*cells[:2], "s.joining_date", *cells[2:], tail[table]])}
+            FROM {database}.{table} t JOIN ({start_dates}) s ON t.employee_id = s.employee_id
+            WHERE {at} >= s.joining_date AND {at} <= date_add(s.joining_date, {schemas.WINDOW_DAYS})"""
+        )
+
+
 def register_views(tables: Tables) -> None:
-    """Make the four views available to SQL. Day 0 is taken now: register again when the tables change."""
+    """The same for tables that are not stored. Day 0 is taken now: register again when the tables change."""
     starts = measure(onboarding_start_dates(tables.onboarding))
     employee_start_dates(tables.onboarding).createOrReplaceTempView(schemas.VIEW_START_DATES)
     first_30_days_onboarding(tables.onboarding, starts).createOrReplaceTempView(schemas.VIEW_ONBOARDING)

@@ -149,6 +149,7 @@ select coalesce((select tool_name from tools order by total_usage_events desc, t
        coalesce((select tool_name from tools order by failed_events desc, tool_name limit 1), 'None') as most_problematic_tool"""
 
 
+# The sentences and labels below are part of the result.
 def _friction(onb: str = "onb", tool: str = "tool", sup: str = "sup") -> str:
     return f""",
 cohort_size as (select greatest(1, count(distinct employee_id)) as n from {onb}),

@@ -226,3 +226,15 @@ def test_times_need_a_utc_session(spark):
             conform(df, schemas.ONBOARDING)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_catalog_views_follow_their_tables(spark, database):
+    sinks.create_tables(spark, database)
+    views.register_catalog_views(spark, database)
+    starts, first = schemas.VIEW_START_DATES, schemas.VIEW_ONBOARDING
+    assert spark.table(starts).count() == 0
+    for n, expected in ((9, {("a", str(day(9)))}), (2, {("a", str(day(2)))})):
+        t = tables(spark, onb=[("a", "S", "Completed", day(n), day(n + 1))])
+        sinks.append_rows(t.onboarding, database, schemas.ONBOARDING)
+        assert {(r.employee_id, str(r.joining_date)[:10]) for r in spark.table(starts).collect()} == expected
+    assert {r.start_day_offset for r in spark.table(first).collect()} == {0, 7}
