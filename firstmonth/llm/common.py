@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from firstmonth.sources.shared import shared_folder
 
-#: Rows of a key table up to which it is broadcast: about 100 MB of two longs in Spark's hashed form.
+#: Rows, and bytes of their values, up to which a table is broadcast: two longs a row are about 100 MB in Spark's hashed form.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128_000_000
 
 #: Rows that Python code looks at together; bounds its memory next to Arrow's own limit of 64 MB a batch.
 SLICE_ROWS = 256
@@ -42,9 +44,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(text).isNull())
 
 
-def measured_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a saved table, marked for broadcast if it has at most ``limit`` rows; else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def measured_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a saved table, marked for broadcast if its rows and their bytes are few enough; else left to a shuffled join."""
+    width = value_bytes(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema)
+    measured = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if measured["n"] <= rows and measured["size"] <= size else df
+
+
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes; texts, lists and lists of texts by what they hold."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, StructType):
+        return sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    if isinstance(kind, ArrayType):
+        held = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + value_bytes(x, kind.elementType))
+        return F.coalesce(held, F.lit(0)) + 8
+    return F.lit(8).cast("long")
 
 
 def join_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -5,7 +5,7 @@ consecutive words of an item; an item with fewer words, but not none, is one win
 the broadcast set; each window of a document is looked up by its hash. The documents with hits are read again, and the
 words of their hit windows compared with the item's. Equal windows of equal length alone count.
 
-Only DataFrame functions are used. The set is broadcast up to ``BROADCAST_ROWS`` windows (counted), joined by a shuffle
+Only DataFrame functions are used. The set is broadcast up to a counted number of windows and bytes, joined by a shuffle
 beyond. Hash work stays beside the scan; only hits are shuffled.
 
 Null text has no words, so such documents are clean and such items have no windows. Items of null id count as one item

@@ -9,7 +9,7 @@ import re
 from collections import Counter
 
 import pytest
-from firstmonth.llm import decontaminate, host_quality, langid, lsh_forest, secret_scan, url_filter, warc
+from firstmonth.llm import common, decontaminate, host_quality, langid, lsh_forest, secret_scan, url_filter, warc
 from firstmonth.llm.registry import (
     op1_language_id,
     op3_secret_scan,
@@ -365,3 +365,16 @@ def test_one_of_each_group_stays(spark, odd, nothing):
 def test_forest_depth():
     assert lsh_forest.shortest_prefix() == 4
     assert 1 - (1 - 0.8**4) ** 24 >= lsh_forest.RECALL > 1 - (1 - 0.8**5) ** 24
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    rows = [(1, "abc", [(1, 2)], ["x", "yy"]), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "a long, b string, c array<struct<at: int, length: int>>, d array<string>")
+    width = common.value_bytes(F.struct(*df.columns), df.schema)
+    assert [r.n for r in df.select(width.alias("n")).collect()] == [8 + 11 + 24 + 27, 8 + 8 + 8 + 8]
+
+    def hinted(**bounds):
+        return "Hint" in common.measured_broadcast(df, **bounds)._jdf.queryExecution().logical().toString()
+
+    assert hinted() and not hinted(rows=1) and not hinted(size=101) and hinted(size=102)
+    assert common.measured_broadcast(df.limit(0), size=0).count() == 0
