@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,12 @@ from firstmonth.operators import (
     tools,
     views,
 )
+from firstmonth.plans.dashboard import Dashboard, build_dashboard
 from firstmonth.plans.first_month import FirstMonth, prepare
 from firstmonth.sources import sinks
 from firstmonth.sources.event_mapping import map_events, read_events
 from firstmonth.sources.shared import shared_folder
-from firstmonth.sources.tables import Tables, register_tables, run_sql
+from firstmonth.sources.tables import Tables, load_tables, register_tables, run_sql
 from firstmonth.sources.uploads import read_upload, trim_strings
 
 try:
@@ -69,7 +71,11 @@ def queries() -> dict[str, Query]:
     registered: dict[str, Query] = {}
 
     for name in schemas.TABLE_NAMES:
-        registered[f"load_{name}"] = _on_uploads(lambda t, name=name: getattr(t, name))
+        registered[f"load_{name}"] = lambda spark, sf_dir, name=name: getattr(_stored(spark, sf_dir), name)
+        registered[f"load_defaults_{name}"] = lambda spark, sf_dir, name=name: getattr(
+            _stored(spark, sf_dir, schemas.OPTIONAL_DEFAULTS), name
+        )
+        registered[f"rejected_{name}"] = _on_uploads(lambda t, name=name: _rejected(getattr(t, name), name))
         registered[f"csv_import_{name}"] = lambda spark, sf_dir, name=name: _csv_import(spark, sf_dir, name)
         registered[f"dedup_{name}"] = _on_uploads(lambda t, name=name: quality.deduplicate(getattr(t, name)))
     registered["append_tool_usage"] = _append_tool_usage
@@ -77,6 +83,10 @@ def queries() -> dict[str, Query]:
     registered["custom_query"] = _custom_query
     registered["trim_strings"] = _on_uploads(lambda t: trim_strings(_pad(t.tool_usage)))
     registered["audit"] = _on_uploads(quality.audit)
+    registered["audit_ignore_keys"] = lambda spark, sf_dir: quality.audit(_stored_again(spark, sf_dir), ignore_keys=True)
+    registered["dedup_tool_usage_ignore_keys"] = lambda spark, sf_dir: quality.deduplicate(
+        _stored_again(spark, sf_dir).tool_usage, [schemas.SURROGATE_KEYS[schemas.TOOL_USAGE]]
+    )
     registered["audit_warnings"] = _on_uploads(quality.audit_warnings)
     registered["constraint_violations"] = _on_uploads(quality.constraint_violations)
 
@@ -136,6 +146,14 @@ def queries() -> dict[str, Query]:
         lambda t: journey.journey_weekly_tickets(t.support_requests)
     )
     registered["overview_kpis"] = _on_first_month(overview.overview_kpis)
+    for name in schemas.TABLE_NAMES:
+        registered[f"overview_kpis_no_{name}"] = _without(name, overview.overview_kpis)
+        registered[f"friction_points_no_{name}"] = _without(name, friction.friction_points)
+        registered[f"journey_daily_no_{name}"] = _without(name, journey.journey_daily)
+    registered["dashboard_overview_kpis"] = lambda spark, sf_dir: _dashboard(spark, sf_dir).pages["overview"]["kpis"]
+    registered["dashboard_cohort_friction"] = lambda spark, sf_dir: _dashboard(spark, sf_dir, COHORT_STAGE).pages[
+        "friction"
+    ]["points"]
     if training_data is not None:
         registered.update(training_data.queries())
         registered["pipeline"] = corpus_pipeline.run
@@ -154,6 +172,41 @@ def _first_month(spark: SparkSession, sf_dir: str) -> FirstMonth:
     return prepare(_uploads(spark, sf_dir))
 
 
+def _dashboard(spark: SparkSession, sf_dir: str, stage: str | None = None) -> Dashboard:
+    return build_dashboard(_uploads(spark, sf_dir), stage)
+
+
+def _stored(spark: SparkSession, sf_dir: str, without: dict[str, Iterable[str]] | None = None) -> Tables:
+    """The tables written as Parquet with text columns, fewer of them if named, and read by the loader."""
+    root = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    for name, df in _uploads(spark, sf_dir).items():
+        text = df.select(*[F.col(column).cast("string").alias(column) for column in df.columns])
+        text.drop(*(without or {}).get(name, ())).write.parquet(f"{root}/{name}")
+    return load_tables(spark, root)
+
+
+def _stored_again(spark: SparkSession, sf_dir: str) -> Tables:
+    """The database shape, some tool rows a second time under other keys."""
+    t = _database(spark, sf_dir)
+    again = t.tool_usage.filter("usage_id % 89 = 0").withColumn("usage_id", -1 - F.col("usage_id"))
+    return replace(t, tool_usage=t.tool_usage.unionByName(again))
+
+
+def _rejected(df: DataFrame, table: str) -> DataFrame:
+    _, broken = quality.split_violations(df, table)
+    return broken.withColumn("broken_rules", F.array_join("broken_rules", ","))
+
+
+def _without(table: str, operator: Callable[[Tables], DataFrame]) -> Query:
+    """``operator`` on the first month when one table has no rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _uploads(spark, sf_dir)
+        return operator(prepare(replace(t, **{table: getattr(t, table).filter(F.lit(False))})).tables)
+
+    return run
+
+
 def _on_uploads(operator: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(_uploads(spark, sf_dir))
 
@@ -229,14 +282,19 @@ def _append_tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clear_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows left per table after filling and clearing all three."""
+    """Rows of each table after filling all three, and after clearing them."""
     database = _new_database(spark)
     sinks.create_tables(spark, database)
     for name, df in _database(spark, sf_dir).items():
         sinks.append_rows(df, database, name)
+    before = _row_counts(spark, database, "n_before").checkpoint()
     sinks.clear_tables(spark, database)
+    return before.join(_row_counts(spark, database, "n_after"), "table_name")
+
+
+def _row_counts(spark: SparkSession, database: str, column: str) -> DataFrame:
     counts = [
-        spark.table(f"{database}.{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
+        spark.table(f"{database}.{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias(column))
         for name in schemas.TABLE_NAMES
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

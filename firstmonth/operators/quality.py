@@ -33,7 +33,8 @@ def audit_by_table(tables: Tables, ignore_keys: bool = False) -> DataFrame:
     """
     parts = []
     for name, df in tables.items():
-        parts.append(_audit_table(df.drop(schemas.PRIMARY_KEYS[name]) if ignore_keys else df, name))
+        ignored = [schemas.SURROGATE_KEYS[name]] if ignore_keys and name in schemas.SURROGATE_KEYS else []
+        parts.append(_audit_table(df.drop(*ignored), name))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -53,12 +53,12 @@ def build_dashboard(raw: Tables, stage: str | None = None, ignore_keys: bool = F
         return None
     everyone = prepare(raw, ignore_keys)
     audit_counts = quality.audit_by_table(raw, ignore_keys).checkpoint()
-    chosen = everyone.cohort(stage) if stage else everyone
+    chosen = save_for_reports(everyone.cohort(stage) if stage else everyone)
     return Dashboard(
         audit=quality.audit_totals(audit_counts),
         audit_warnings=quality.warning_lines(audit_counts),
-        stage_list=onboarding.stage_list(everyone.tables.onboarding),
-        pages=build_pages(save_for_reports(chosen)),
+        stage_list=onboarding.stage_list((everyone.tables if stage else chosen).onboarding),
+        pages=build_pages(chosen),
     )
 
 
@@ -74,7 +74,7 @@ def save_for_reports(first_month: FirstMonth) -> Tables:
 
 
 def build_pages(tables: Tables) -> dict[str, dict[str, DataFrame]]:
-    points = friction.friction_points(tables)
+    points = friction.friction_points(tables).checkpoint()  # a row for each stage, tool and category
     stages = onboarding.stage_summary(tables.onboarding)
     return {
         "overview": {

@@ -1,7 +1,8 @@
 """Derives the three tables from a generic ``events`` table.
 
 Some dirt is put in on purpose: missing employees, exact copies, null states, completion before start,
-negative and missing resolution times, events after Day 30.
+negative and missing resolution times, events after Day 30. Every fourth user has a colleague file the requests,
+so that some employees have none.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from firstmonth.sources.tables import Tables
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
 _EMPLOYEE = "if(event_id % 101 = 0, null, concat('EMP-', user_id)) as employee_id"
+_REQUESTER = "if(event_id % 101 = 0, null, concat('EMP-', user_id + if(user_id % 4 = 0, 1, 0))) as employee_id"
 _SHIFTED = "ts + make_dt_interval(cast(floor(value / 10) as int))"
 
 
@@ -21,9 +23,11 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_events(events: DataFrame, surrogate_keys: bool = False) -> Tables:
-    """Upload shape, or the database shape with unique surrogate keys and no doubled tool rows."""
+    """Upload shape, or the database shape with unique keys and no doubled rows."""
     return Tables(
-        _onboarding(events, surrogate_keys), _tool_usage(events, surrogate_keys), _support_requests(events)
+        _onboarding(events, surrogate_keys),
+        _tool_usage(events, surrogate_keys),
+        _support_requests(events, surrogate_keys),
     )
 
 
@@ -46,7 +50,7 @@ def _onboarding(events: DataFrame, surrogate_keys: bool) -> DataFrame:
 def _tool_usage(events: DataFrame, surrogate_keys: bool) -> DataFrame:
     rows = events.filter("event_type in ('click', 'view', 'error')")
     if not surrogate_keys:
-        rows = rows.selectExpr("*", "explode(if(event_id % 89 = 0, array(0, 1), array(0))) as copy_no")
+        rows = _doubled(rows, 89)
     return rows.selectExpr(
         *(["event_id as usage_id"] if surrogate_keys else []),
         _EMPLOYEE,
@@ -61,10 +65,17 @@ def _tool_usage(events: DataFrame, surrogate_keys: bool) -> DataFrame:
     )
 
 
-def _support_requests(events: DataFrame) -> DataFrame:
-    return events.filter("event_type = 'purchase'").selectExpr(
+def _doubled(rows: DataFrame, every: int) -> DataFrame:
+    return rows.selectExpr("*", f"explode(if(event_id % {every} = 0, array(0, 1), array(0))) as copy_no")
+
+
+def _support_requests(events: DataFrame, surrogate_keys: bool) -> DataFrame:
+    rows = events.filter("event_type = 'purchase'")
+    if not surrogate_keys:
+        rows = _doubled(rows, 83)
+    return rows.selectExpr(
         "concat('REQ-', event_id) as request_id",
-        _EMPLOYEE,
+        _REQUESTER,
         "concat('Category-', event_id % 6 + 1) as request_category",
         f"{_SHIFTED} as request_date",
         """case event_id % 10 when 0 then 'Pending' when 1 then 'In Progress' when 2 then 'Closed'

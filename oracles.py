@@ -9,6 +9,8 @@ from __future__ import annotations
 
 _EMPLOYEE = "case when event_id % 101 = 0 then null else concat('EMP-', cast(user_id as varchar(20))) end as employee_id"
 
+_REQUESTER = _EMPLOYEE.replace("user_id", "case when user_id % 4 = 0 then user_id + 1 else user_id end")
+
 _ONBOARDING = f"""
 select {{key}}{_EMPLOYEE},
        concat('Stage-', cast(event_id % 6 + 1 as varchar(20))) as onboarding_stage,
@@ -33,25 +35,38 @@ where event_type in ('click','view','error')"""
 
 _SUPPORT = f"""
 select concat('REQ-', cast(event_id as varchar(20))) as request_id,
-       {_EMPLOYEE},
+       {_REQUESTER},
        concat('Category-', cast(event_id % 6 + 1 as varchar(20))) as request_category,
        ts + cast(floor(value / 10) as int) * interval '1' day as request_date,
        case when event_id % 10 = 0 then 'Pending' when event_id % 10 = 1 then 'In Progress'
             when event_id % 10 = 2 then 'Closed' else 'Resolved' end as request_status,
        case when event_id % 10 in (0,1) then null when event_id % 53 = 0 then -value else value end as resolution_time
-from events where event_type = 'purchase'"""
+from events {{copies}} where event_type = 'purchase'"""
+
+
+def _copies(every: int) -> str:
+    return f"join (select 0 as copy_no union all select 1 as copy_no) x on copy_no = 0 or event_id % {every} = 0"
+
+
+def _uploads(without: str = "") -> str:
+    """The uploaded tables, one of them without rows if named."""
+    tables = {
+        "onboarding": _ONBOARDING.format(key=""),
+        "tool_usage": _TOOL_USAGE.format(key="", copies=_copies(89)),
+        "support_requests": _SUPPORT.format(copies=_copies(83)),
+    }
+    return "\nwith " + ",\n".join(
+        f"{name} as (select * from ({rows}) r where {'false' if name == without else 'true'})"
+        for name, rows in tables.items()
+    )
 
-_COPIES = "join (select 0 as copy_no union all select 1 as copy_no) x on copy_no = 0 or event_id % 89 = 0"
 
-UPLOADS = f"""
-with onboarding as ({_ONBOARDING.format(key="")}),
-tool_usage as ({_TOOL_USAGE.format(key="", copies=_COPIES)}),
-support_requests as ({_SUPPORT})"""
+UPLOADS = _uploads()
 
 DATABASE = f"""
 with onboarding as ({_ONBOARDING.format(key="event_id as onboarding_id, ")}),
 tool_usage as ({_TOOL_USAGE.format(key="event_id as usage_id, ", copies="")}),
-support_requests as ({_SUPPORT}),
+support_requests as ({_SUPPORT.format(copies="")}),
 start_dates as (select employee_id, min(start_date) as joining_date from onboarding group by employee_id)"""
 
 # ---------------------------------------------------------------- the cleaned first month
@@ -125,7 +140,7 @@ categories as (
 
 _ONBOARDING_KPIS = f"""
 select (select count(distinct employee_id) from onb) as total_employees,
-       coalesce((select {_exact("count(*) filter (where stage_status = 'Completed') / count(*) * 100", 2)}
+       coalesce((select {_exact("count(*) filter (where stage_status = 'Completed') / nullif(count(*), 0) * 100", 2)}
                  from onb), 0.0) as overall_completion_rate,
        coalesce((select onboarding_stage from stages
                  order by delayed_count desc, avg_duration_days desc, onboarding_stage limit 1), 'None') as top_delayed_stage,
@@ -204,8 +219,8 @@ def _missing(table: str) -> str:
     return f"(select count(*) from {table} where employee_id is null)"
 
 
-def _violations() -> str:
-    checks = {
+def _checks() -> dict[str, dict[str, str]]:
+    return {
         "onboarding": {
             "employee_id_not_null": "employee_id is null",
             "onboarding_stage_not_null": "onboarding_stage is null",
@@ -242,9 +257,12 @@ def _violations() -> str:
             "resolution_time_not_negative": "resolution_time < 0",
         },
     }
+
+
+def _violations() -> str:
     selects = [
         f"select '{table}' as table_name, '{rule}' as rule, (select count(*) from {table} where {broken}) as violations"
-        for table, rules in checks.items()
+        for table, rules in _checks().items()
         for rule, broken in rules.items()
     ]
     selects.append(
@@ -258,16 +276,47 @@ def _sql_mean(total: str, n: str) -> str:
     return f"case when {n} > 0 then sign({total}) * ((200 * abs({total}) + {n}) // (2 * {n})) / 100.0 end"
 
 
+def _rejected(table: str) -> str:
+    names = ", ".join(f"case when {broken} then '{rule}' end" for rule, broken in _checks()[table].items())
+    return f"{UPLOADS} select * from (select *, concat_ws(',', {names}) as broken_rules from {table}) r where broken_rules <> ''"
+
+
+# What absent columns are filled with.
+_DEFAULTS = {
+    "onboarding": "cast(null as date) as completion_date, 'In Progress' as stage_status",
+    "tool_usage": "'Success' as usage_status, 'General Activity' as usage_activity",
+    "support_requests": "cast(null as double) as resolution_time, 'Pending' as request_status",
+}
+
+#: Tool rows stored a second time under other keys.
+_STORED_AGAIN = f"""{DATABASE},
+stored as (select * from tool_usage
+           union all select * replace (-1 - usage_id as usage_id) from tool_usage where usage_id % 89 = 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     tables = ["onboarding", "tool_usage", "support_requests"]
     sql = {}
     for table in tables:
         sql[f"load_{table}"] = f"{UPLOADS} select * from {table}"
+        sql[f"load_defaults_{table}"] = f"{UPLOADS} select * replace ({_DEFAULTS[table]}) from {table}"
+        sql[f"rejected_{table}"] = _rejected(table)
         sql[f"dedup_{table}"] = f"{UPLOADS} select distinct * from {table}"
         sql[f"csv_import_{table}"] = f"{UPLOADS} select * from {table}"
     sql["append_tool_usage"] = f"""{DATABASE} select * from tool_usage union all select * from tool_usage"""
-    sql["clear_tables"] = """
-select * from (values ('onboarding', 0::bigint), ('tool_usage', 0::bigint), ('support_requests', 0::bigint)) t(table_name, n)"""
+    sql["dedup_tool_usage_ignore_keys"] = f"""{_STORED_AGAIN}
+select min(usage_id) as usage_id, * exclude (usage_id) from stored group by all"""
+    sql["audit_ignore_keys"] = f"""{_STORED_AGAIN},
+onb_rows as (select * exclude (onboarding_id) from onboarding),
+tool_rows as (select * exclude (usage_id) from stored)
+select cast({" + ".join(_missing(t) for t in ("onb_rows", "tool_rows", "support_requests"))} as bigint) as missing_employee_ids,
+       cast({" + ".join(_duplicates(t) for t in ("onb_rows", "tool_rows", "support_requests"))} as bigint) as duplicate_records,
+       (select count(*) from (select distinct * from onb_rows) where completion_date < start_date) as invalid_timestamps,
+       (select count(*) from (select distinct * from support_requests) where resolution_time < 0)
+         as negative_resolution_times"""
+    sql["clear_tables"] = f"{DATABASE}\n" + " union all ".join(
+        f"select '{table}' as table_name, count(*) as n_before, 0::bigint as n_after from {table}" for table in tables
+    )
     sql["custom_query"] = (
         f"{UPLOADS} select tool_name, count(*) as n from tool_usage where usage_status = 'Failed' group by tool_name"
     )
@@ -377,11 +426,19 @@ from range(0, 31) r(d)"""
 weeks(week, day_from, day_to) as (values (1, 0, 7), (2, 8, 14), (3, 15, 21), (4, 22, 30))
 select week, day_from, day_to, count(sup.employee_id) as support_tickets
 from weeks left join sup on sup.days_since_joining between day_from and day_to group by week, day_from, day_to"""
-    sql["overview_kpis"] = f"""{CLEANED}{_STAGES}{_TOOLS}{_CATEGORIES}
+    overview = f"""{_STAGES}{_TOOLS}{_CATEGORIES}
 select k.total_employees as total_hires, k.overall_completion_rate as completion_rate,
        k.avg_onboarding_time_days as avg_completion_days, s.total_requests as total_support_requests,
        case when s.total_requests > 0 then s.most_common_category else 'N/A' end as most_common_issue,
        case when k.total_employees > 0 then k.top_delayed_stage else 'N/A' end as top_delayed_stage,
        case when (select count(*) from tool) > 0 then t.most_problematic_tool else 'N/A' end as most_problematic_tool
 from ({_ONBOARDING_KPIS}) k cross join ({_SUPPORT_KPIS}) s cross join ({_TOOL_KPIS}) t"""
+    sql["overview_kpis"] = CLEANED + overview
+    sql["dashboard_overview_kpis"] = sql["overview_kpis"]
+    sql["dashboard_cohort_friction"] = sql["cohort_friction"]
+    for table in tables:
+        cleaned = _uploads(without=table) + _CLEAN
+        sql[f"overview_kpis_no_{table}"] = cleaned + overview
+        sql[f"friction_points_no_{table}"] = f"{cleaned}{_friction()} select * from friction"
+        sql[f"journey_daily_no_{table}"] = sql["journey_daily"].replace(CLEANED, cleaned)
     return sql
