@@ -11,6 +11,10 @@ from firstmonth.llm import decontaminate, host_quality, lsh_forest, packing, sec
 from firstmonth.llm.common import save
 
 
+#: Pieces of text whose ids a worker keeps while packing: few, as its memory holds what the stages before have left.
+KNOWN_PIECES = 100_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the quality rules, by themselves or with their host."""
     return host_quality.keep_good(docs)
@@ -33,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts and pack them into sequences of 1024 tokens; one row a piece."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, known=KNOWN_PIECES)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from firstmonth.llm.common import measured_broadcast, save, sliced
-from firstmonth.llm.tokens import END_ID, ID_TYPE, encoder, tokenizer_path
+from firstmonth.llm.tokens import END_ID, ID_TYPE, KNOWN, encoder, tokenizer_path
 
 CAPACITY = 1024
 
@@ -35,14 +35,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = f"{PIECES}, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Pieces of ``doc_id``, ``text``: ids of the whole text and the end id, cut so that all but the first piece are full."""
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, known: int = KNOWN
+) -> DataFrame:
+    """Pieces of ``doc_id``, ``text``: ids of the whole text and the end id, cut so that all but the first piece are full.
+
+    ``known`` bounds the memory of the encoder, not what it gives: fewer kept pieces of text are encoded more often.
+    """
     path = path or tokenizer_path()
     end = np.array([END_ID], dtype=ID_TYPE).tobytes()
     size = ID_TYPE.itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, known).encode
         for batch in sliced(batches):
             doc_ids = batch.column(0).to_pylist()
             rows = []
@@ -168,9 +173,11 @@ def _numbered(parts: DataFrame, counts: dict[int, int]) -> DataFrame:
     return joined.select(*names, (F.col("before") + F.col("place") - 1).cast("long").alias("number"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, known: int = KNOWN
+) -> DataFrame:
     """Encode, cut and pack ``docs``; one row a piece. ``with_ids`` keeps the ids as little-endian bytes."""
-    return pack(save(pieces(docs, capacity, path, with_ids), "pieces"), capacity)
+    return pack(save(pieces(docs, capacity, path, with_ids, known), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+
+#: Distinct pieces whose ids a Python worker keeps, unless told otherwise.
+KNOWN = 700_000
 ID_TYPE = np.dtype("<u4")
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -35,7 +38,7 @@ class Encoder:
     among the ``limit`` ones kept. All other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = KNOWN):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.first: dict[str, bytes] = {}
@@ -130,14 +133,14 @@ def _parts(piece: str) -> list[str]:
     return parts
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = KNOWN) -> Encoder:
     """One for each Python worker, so that its pieces stay known from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = Encoder(path, limit)
+    return _encoders[path, limit]
 
 
 def _array(ids: list[int]) -> np.ndarray:
