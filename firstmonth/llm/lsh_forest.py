@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -227,8 +228,8 @@ def _compare(members: pd.DataFrame) -> pd.DataFrame:
 
 def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
     """Which of the sets have a Jaccard similarity of at least ``threshold``; none with itself."""
-    sizes = np.array([len(x) for x in sets], dtype=np.float64)
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, column, n = np.unique(values, return_inverse=True, return_counts=True)
     shared = n > 1
     number = np.cumsum(shared) - 1
@@ -236,13 +237,14 @@ def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
     owner, column = owner[kept], number[column[kept]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)  # exact below 2^24 shingles in a product
+    common = np.zeros((len(sets), len(sets)), dtype=np.int64)
     for start in range(0, int(shared.sum()), _COLUMNS):
         first, last = np.searchsorted(column, [start, start + _COLUMNS])
         has = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
         has[owner[first:last], column[first:last] - start] = 1
-        common += has @ has.T
-    close = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+        common += (has @ has.T).astype(np.int64)  # a product counts at most _COLUMNS, which float32 holds exactly
+    least = Fraction(threshold).limit_denominator(1000)  # in whole numbers, as pairs may lie at the threshold itself
+    close = least.denominator * common >= least.numerator * (sizes[:, None] + sizes[None, :] - common)
     np.fill_diagonal(close, False)
     return close
 

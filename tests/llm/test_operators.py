@@ -8,6 +8,7 @@ import io
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from firstmonth.llm import common, decontaminate, host_quality, langid, lsh_forest, secret_scan, url_filter, warc
@@ -363,6 +364,28 @@ def test_one_of_each_group_stays(spark, odd, nothing):
     assert lsh_forest.keep_one(nothing).count() == 0 and lsh_forest.near_duplicates(nothing).count() == 0
 
 
+def tie(name, copied, left, right):
+    """Two texts that share ``copied`` shingles and have ``left`` and ``right`` of their own."""
+    shared = [f"{name}{i}" for i in range(copied + 4)]
+    return " ".join([f"{name}l{i}" for i in range(left)] + shared), " ".join(shared + [f"{name}r{i}" for i in range(right)])
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    texts = [*tie("a", 12, 1, 2), *tie("b", 24, 3, 3), *tie("c", 24, 3, 4), *tie("d", 12, 2, 2)]
+    assert [len(lsh_forest.shingles(t)) for t in texts[:4]] == [13, 14, 27, 27]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in lsh_forest.near_duplicates(docs).collect()) == groups_of(rows)
+    assert sorted(r.doc_id for r in lsh_forest.keep_one(docs).collect()) == [0, 2, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 6, 7, 48, 1000, 2999])
+def test_similarity_at_the_threshold(k):
+    a, b = range(4 * k + k // 2), range(k // 2, 5 * k)  # 4k in common of 5k
+    sets = [np.array(x, dtype=np.uint64) for x in (a, b, range(k // 2 + 1, 5 * k + 1))]
+    assert lsh_forest.similar(sets)[0].tolist() == [False, True, False]
+
+
 def test_forest_depth():
     assert lsh_forest.shortest_prefix() == 4
     assert 1 - (1 - 0.8**4) ** 24 >= lsh_forest.RECALL > 1 - (1 - 0.8**5) ** 24
