@@ -36,7 +36,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, named by the header; missing marks become null.
 
     Files are split between tasks, except those in which a quoted cell holds a line break. A row with more cells than
-    the header is an error; one with fewer ends in missing cells.
+    the header is an error, unless only commas follow; one with fewer ends in missing cells.
     """
     broken = set(files_with_line_breaks(spark, path))
     plain = sorted(_files(spark.read.text(path)) - broken) if broken else [path]
@@ -56,11 +56,19 @@ def _read(spark: SparkSession, files: list[str], multi_line: bool) -> DataFrame:
 
 
 def _refuse_long_rows(df: DataFrame, n_cells: int) -> None:
-    """Spark marks rows of another length than the header; of those, count the ones with a cell beyond it."""
+    """Spark marks rows of another length than the header; of those, count the ones with a cell beyond it.
+
+    Blank and absent cells read alike, so each row gets one cell more, longer than the row itself: it is found among
+    the first ``n_cells + 1`` unless that many stand before it. An open quote takes it into the last cell.
+    """
     beyond = ", ".join(f"c{i} string" for i in range(n_cells + 1))
-    extra = F.from_csv(F.col(_CORRUPT), beyond, {"escape": '"'})[f"c{n_cells}"]
+    row = F.regexp_replace(F.col(_CORRUPT), r",*[\r\n]*\z", "")  # nothing is lost with commas alone
+    end = F.repeat(F.lit("x"), F.length(row) + 1)
+    cells = F.from_csv(F.concat(row, F.lit(","), end), beyond, {"escape": '"'})
+    inside = [F.coalesce(F.length(cells[f"c{i}"]) > F.length(row), F.lit(False)) for i in range(n_cells)]
+    fits = reduce(Column.__or__, inside, F.coalesce(cells[f"c{n_cells}"] == end, F.lit(False)))
     any_cell = F.length(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))) >= 0  # Spark asks for a column of the file itself
-    long_rows = df.where(F.col(_CORRUPT).isNotNull() & any_cell).where(extra.isNotNull())
+    long_rows = df.where(F.col(_CORRUPT).isNotNull() & any_cell).where(~fits)
     found = long_rows.groupBy(_FILE).agg(F.count(F.lit(1)).alias("n")).orderBy(_FILE).limit(5).collect()
     if found:
         where = ", ".join(f"{row['n']} in {row[_FILE]}" for row in found)

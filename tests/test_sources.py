@@ -177,6 +177,19 @@ def test_rows_longer_than_the_header_are_refused(spark, tmp_path):
     assert {r.employee_id: r.start_date is None for r in short.collect()} == {"E1": False, "E2": True, "E3": False}
 
 
+@pytest.mark.parametrize("row", ["E2,S1,2024-01-01,,LOST", 'E2,"S,\n1",2024-01-01,,"LO\nST"', "E2,S1,2024-01-01,,,,LOST,", ",,,,LOST"])
+def test_blank_cells_hide_no_longer_row(spark, tmp_path, row):
+    text = f"employee_id,onboarding_stage,start_date\nE1,S1,2024-01-01\n{row}\n"
+    with pytest.raises(ValueError, match="more cells than the header: 1 in .*upload.csv"):
+        read_upload(spark, csv_file(tmp_path, text), schemas.ONBOARDING)
+
+
+def test_short_rows_and_commas_at_the_end_are_kept(spark, tmp_path):
+    rows = ["E1", 'E2,"S,1"', 'E3,"S\n""1"""', "E4,S1,2024-01-01,,,", "E5,,", 'E6,"open, ', ""]
+    got = read_csv(spark, csv_file(tmp_path, "employee_id,onboarding_stage,start_date\n" + "\n".join(rows)))
+    assert sorted(r.employee_id for r in got.collect()) == ["E1", "E2", "E3", "E4", "E5", "E6"]
+
+
 @pytest.mark.parametrize(
     ("cells", "expected"),
     [
