@@ -63,15 +63,15 @@ def value_bytes(value: Column, kind: DataType) -> Column:
     return F.lit(8).cast("long")
 
 
-def join_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of whole documents with ``keys`` (a saved table of ``doc_id`` and ``row_key``).
+def join_keys(docs: DataFrame, keys: DataFrame, how: str, key: Callable[[], Column] = row_key) -> DataFrame:
+    """Semi or anti join of whole documents with ``keys`` (a saved table of ``doc_id`` and ``row_key``, made by ``key``).
 
     The columns of ``docs`` stay as they are, whatever their names.
     """
     kept = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.col("doc_id").alias("left_id"),
-        row_key().alias("left_key"),
+        key().alias("left_key"),
     )
     right = keys.select(F.col("doc_id").alias("right_id"), F.col("row_key").alias("right_key"))
     on = F.col("left_id").eqNullSafe(F.col("right_id")) & (F.col("left_key") == F.col("right_key"))

@@ -35,12 +35,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
 
 
+def host_row_key() -> Column:
+    """Rows of equal id and text at two hosts are judged apart."""
+    return F.xxhash64(row_key(), F.col("source"), F.col("source").isNull())
+
+
 def text_measures(docs: DataFrame) -> DataFrame:
     """Per document: id, host, row key, and the measures of its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     measured = docs.select(
         F.col("doc_id"),
-        row_key().alias("row_key"),
+        host_row_key().alias("row_key"),
         F.col("source").alias("host"),
         let(
             words(text),
@@ -171,4 +176,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, as they are."""
     rejected = save(judge(docs).where(~F.col("kept")).select("doc_id", "row_key").distinct(), "rejected")
-    return join_keys(docs, rejected, "left_anti")
+    return join_keys(docs, rejected, "left_anti", host_row_key)

@@ -160,6 +160,16 @@ def test_bad_host_takes_its_documents_with_it(spark):
     assert rates["good0"] < rates["tiny"] < rates["bad"] < 0.9 + 1e-9
 
 
+def test_bad_host_leaves_equal_rows_of_good_hosts(spark):
+    fine, bad = " ".join(f"w{i}" for i in range(40)), "buy now " * 20
+    rows = [(i, bad if i % 10 else fine, "bad") for i in range(100)]
+    rows += [(1000 + i, f"{fine} {i}", f"good{i % 5}") for i in range(100)]
+    rows += [(i, "both " + fine, host) for i in (None, 7000) for host in ("bad", "good1", None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = host_quality.keep_good(docs).where("text like 'both%'").select("doc_id", "source").collect()
+    assert Counter(tuple(r) for r in kept) == Counter((i, host) for i in (None, 7000) for host in ("good1", None, ""))
+
+
 def test_quality_of_odd_rows(odd, nothing):
     rows = host_quality.judge(odd).collect()
     assert len(rows) == 10 and all(r.base_failed for r in rows if not r.n_words)
