@@ -2,9 +2,10 @@
 
 Base patterns find assignments, access identifiers and long hexadecimal strings; these are always reported. Credentials
 often come in parts, though: an identifier, a secret, an endpoint. Weak candidates of each part (random-looking strings,
-account names, addresses) mean little alone. They are reported only if the parts they need stand near them in the
-same scope, which is the document: each weak span, widened by ``REACH`` code points on both sides, is joined as an
-interval with the spans of the complementary roles.
+account names, addresses) mean little alone. They are reported only if the parts they need stand in the same scope:
+the block of lines up to the next blank lines, such as a config of any length, and ``REACH`` code points on both sides,
+which is all there is for a block of one line. Each weak span, widened to its scope, is joined as an interval with the
+spans of the complementary roles.
 
     weak secret    needs an identifier (access or account)
     weak account   needs a secret (assign, hex or weak)
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,8 +51,10 @@ _ACCOUNT = re.compile(
     r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]+""", re.IGNORECASE | re.ASCII
 )
 _ENDPOINT = re.compile(
-    r"""(?<![a-z0-9+.-])(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}:[0-9]{2,5})""", re.ASCII
+    r"""(?<![a-z0-9+.-])(?:[a-z][a-z0-9+.-]*://[^\s"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}:[0-9]{2,5})""",
+    re.IGNORECASE | re.ASCII,
 )
+_BLANK_LINES = re.compile(r"\n(?:[^\S\n]*\n)+")
 
 Span = tuple[int, int, str]
 
@@ -97,10 +100,21 @@ def _looks_random(value: str) -> bool:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= 3.5
 
 
-def nearby(span: Span, parts: list[Span], starts: list[int], reach: int) -> Span | None:
-    """The last of the disjoint, sorted ``parts`` that overlaps ``span`` widened by ``reach``."""
-    i = bisect_left(starts, span[1] + reach)
-    return parts[i - 1] if i and parts[i - 1][1] > span[0] - reach else None
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Bounds (start, end) of the blocks between blank lines that have more than one line, ascending."""
+    found, start = [], 0
+    for m in [*_BLANK_LINES.finditer(text), None]:
+        end = m.start() if m else len(text)
+        if "\n" in text[start:end].strip():
+            found.append((start, end))
+        start = m.end() if m else end
+    return found
+
+
+def nearby(scope: tuple[int, int], parts: list[Span], starts: list[int]) -> Span | None:
+    """The last of the disjoint, sorted ``parts`` that overlaps ``scope``."""
+    i = bisect_left(starts, scope[1])
+    return parts[i - 1] if i and parts[i - 1][1] > scope[0] else None
 
 
 def credential_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[tuple[Span, Span]]]:
@@ -109,9 +123,19 @@ def credential_spans(text: str, reach: int = REACH) -> tuple[list[Span], list[tu
     weak = weak_spans(text, strong)
     by_kind = {**{kind: sorted(s for s in strong if s[2] == kind) for kind in BASE}, **weak}
     starts = {kind: [s[0] for s in spans] for kind, spans in by_kind.items()}
+    bounds = blocks(text) if any(weak.values()) else []
+    block_starts = [start for start, _ in bounds]
+
+    def scope_of(span: Span) -> tuple[int, int]:
+        start, end = span[0] - reach, span[1] + reach
+        i = bisect_right(block_starts, span[0])
+        if i and bounds[i - 1][1] >= span[1]:
+            start, end = min(start, bounds[i - 1][0]), max(end, bounds[i - 1][1])
+        return start, end
 
     def joined(span: Span, kinds: tuple[str, ...]) -> Span | None:
-        found = (nearby(span, by_kind[kind], starts[kind], reach) for kind in kinds)
+        scope = scope_of(span)
+        found = (nearby(scope, by_kind[kind], starts[kind]) for kind in kinds)
         return next((part for part in found if part and part != span), None)
 
     identifiers, secrets = (ACCESS, ACCOUNT), (ASSIGN, HEX, SECRET)
