@@ -10,8 +10,9 @@ The posterior of each row adds up, for every language,
 The last three tables are not given but learned from the rows themselves, by grouped aggregation of what the text alone
 says (one vote a row, or none without text). A row's own vote is left out of its host's prior.
 
-The text model alone is fitted to labelled rows, a sample of about ``SAMPLE_ROWS`` picked by a hash of the id. All
-rows are scored and voted. Scores are written once, without texts. Tables of hosts and the like are broadcast only
+The text model alone is fitted to labelled rows: about ``SAMPLE_ROWS`` of each language, picked by a hash of id and
+text, and at least one, so that every label with a text of three bytes or more stays a possible answer. Rows of equal
+id and text count once in it. All rows are scored and voted. Scores are written once, without texts. Tables of hosts and the like are broadcast only
 up to a counted size; counting is summed map-side, so a host of any size is one row a task.
 
 Null or empty text gives no text evidence and no vote; null hosts, suffixes and declarations give no evidence of
@@ -41,6 +42,8 @@ TEMPER, MOST = 1 / 3, 200.0
 #: Weight of the level above, in votes.
 PRIOR_VOTES = 5.0
 _CHUNK = 1 << 16
+#: Range of the hash that picks the sample; whole numbers up to it are exact as doubles.
+_KEYS = 1 << 53
 
 INPUT = "doc_id long, page_id long, text string, markup boolean, host string, declared string"
 _SCORED = "doc_id long, page_id long, host string, declared string, score array<double>, vote int"
@@ -96,12 +99,14 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Fit trigram counts to about ``sample_rows`` of ``labelled`` (``doc_id``, ``text``, ``lang``)."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.where(F.col("lang").isNotNull()).count()
-    if total > sample_rows:
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-        rows = rows.where(share < int(1_000_000 * sample_rows / total) + 1)
+    """Fit trigram counts to about ``sample_rows`` of each language of ``labelled`` (``doc_id``, ``text``, ``lang``)."""
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_KEYS))
+    rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 2)).select("lang", "text", key.alias("key"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    last = F.greatest(F.col("least").cast("double"), F.lit(float(_KEYS) * sample_rows) / F.col("n"))
+    limits = save(sizes.select(F.col("lang").alias("of_lang"), last.alias("last")), "sample-limits")
+    rows = rows.join(measured_broadcast(limits), F.col("lang") == F.col("of_lang")).where("key <= last")
+    rows = rows.groupBy("lang", "key").agg(F.first("text").alias("text"))  # equal rows, however many, are one
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

@@ -42,6 +42,18 @@ def test_languages_of_documents_and_pages(spark, documents, pages):
     assert sum(r.lang == r.declared for r in rows if r.page_id is not None) >= 0.98 * pages.count()
 
 
+def test_rare_languages_stay_possible_answers(spark):
+    rows = [(i, f"the cat and the dog number {i}", "en") for i in range(3000)]
+    rows += [(5000 + i, "les chats que nous avons dans la maison", "fr") for i in range(2)]
+    rows += [(None, "der hund und die katze in dem haus", "de")] * 2000 + [(1, "ab", "xx"), (2, None, "yy"), (3, "il gatto", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample_rows in (1, 50):
+        assert langid.train(docs.repartition(3), sample_rows).languages == ["de", "en", "fr"]
+    given = docs.select("doc_id", "text", F.lit(None).cast("string").alias("source")).dropDuplicates(["text"])
+    found = langid.identify(langid.document_rows(given), langid.train(docs, 50)).collect()
+    assert {r.doc_id: r.text_lang for r in found if r.doc_id in (None, 7, 5000, 5001)}.items() >= {None: "de", 7: "en"}.items()
+
+
 def test_language_evidence_without_text(spark, documents, odd, nothing):
     model = langid.train(documents, sample_rows=100)
     page = '<html lang="fr-CA"><script>the and of</script><p>les des une pour que est dans avec</p>'
