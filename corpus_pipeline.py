@@ -36,8 +36,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts and pack them into sequences of 1024 tokens; one row a piece."""
-    return packing.pack_documents(docs, known=KNOWN_PIECES)
+    """Encode the texts and pack them into sequences of 1024 tokens; one row a piece, with its ids.
+
+    ``packing.sequences`` joins the pieces to whole sequences.
+    """
+    return packing.pack_documents(docs, with_ids=True, known=KNOWN_PIECES)
 
 
 STAGES = [

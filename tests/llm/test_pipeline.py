@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from firstmonth.llm import decontaminate, host_quality, lsh_forest, secret_scan
+from firstmonth.llm import decontaminate, host_quality, lsh_forest, packing, secret_scan
 from firstmonth.llm.common import save
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,3 +36,9 @@ def test_pipeline_of_odd_rows(spark, odd, nothing):
         for name, stage in corpus_pipeline.STAGES:
             docs = save(stage(spark, docs, SF_DIR), f"odd-{name}")
         assert docs.count() == len({r.doc_id for r in docs.collect()})
+
+
+def test_packing_returns_the_tokens(spark, odd):
+    placed = corpus_pipeline.STAGES[-1][1](spark, odd, SF_DIR)
+    assert all(len(r.ids) == 4 * r.length for r in placed.collect())
+    assert all(len(r.ids) == 4 * r.n_tokens for r in packing.sequences(placed).collect())
