@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firstmonth.llm import decontaminate, host_quality, huffman, langid, lsh_forest, oracle, packing, secret_scan, token_counts, url_filter, warc
+from firstmonth.llm import (
+    decontaminate,
+    filter_audit,
+    host_quality,
+    huffman,
+    langid,
+    line_dedup,
+    lsh_forest,
+    oracle,
+    packing,
+    secret_scan,
+    token_counts,
+    url_filter,
+    vector_codes,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +92,22 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions of five filters over all documents, in all orders."""
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them share."""
+    documents = _table(spark, sf_dir, "documents")
+    return line_dedup.digests(documents, line_dedup.keep_bitmaps(documents))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -89,6 +120,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_warc": op9_warc,
         "op10_lsh_forest": op10_lsh_forest,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
