@@ -61,6 +61,9 @@ LABELLED = {
         http://blog.betting-odds.example.org/de/7 https://payday-cash.example.org/en/91 https://www.keygen-cracks.example.org/es/650
         http://m.ad-banner.example.org/fr/3 https://buy-likes.example.org/de/402.html http://blog.diet-pills.example.org/en/8
         https://www.adult-chat.example.org/es/71 http://free-spins.example.org/fr/12 https://m.click-ads.example.org/en/33
+        http://www.lottery-jackpot.example.net/en/17 https://m.pharmacy-pills.example.net/de/5 http://blog.casino-slots.example.net/en/88
+        https://poker-cash.example.net/de/21.html http://www.adult-cams.example.net/en/6 https://m.seo-links.example.net/de/410
+        http://cheap-meds.example.net/en/3 https://blog.ad-tracker.example.net/de/2 http://loan-cash.example.net/en/74
     """.split(),
     ALLOW: """
         https://en.encyclopedia.org/article/history https://www.citylibrary.org/catalogue/books http://museum-of-art.org/exhibitions/2024
