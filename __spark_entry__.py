@@ -7,7 +7,6 @@ all of their rows. ``oracle_sql()`` holds the DuckDB text for the same keys.
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from pathlib import Path
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracles
+import storage_queries
 from firstmonth import schemas
 from firstmonth.operators import (
     day_zero,
@@ -32,9 +32,8 @@ from firstmonth.operators import (
 )
 from firstmonth.plans.dashboard import Dashboard, build_dashboard
 from firstmonth.plans.first_month import FirstMonth, prepare
-from firstmonth.sources import sinks
+from firstmonth.sources import saved, sinks
 from firstmonth.sources.event_mapping import map_events, read_events
-from firstmonth.sources.shared import shared_folder
 from firstmonth.sources.tables import Tables, load_tables, register_tables, run_sql
 from firstmonth.sources.uploads import read_upload, trim_strings
 
@@ -154,6 +153,7 @@ def queries() -> dict[str, Query]:
     registered["dashboard_cohort_friction"] = lambda spark, sf_dir: _dashboard(spark, sf_dir, COHORT_STAGE).pages[
         "friction"
     ]["points"]
+    registered.update(storage_queries.queries())
     if training_data is not None:
         registered.update(training_data.queries())
         registered["pipeline"] = corpus_pipeline.run
@@ -178,7 +178,7 @@ def _dashboard(spark: SparkSession, sf_dir: str, stage: str | None = None) -> Da
 
 def _stored(spark: SparkSession, sf_dir: str, without: dict[str, Iterable[str]] | None = None) -> Tables:
     """The tables written as Parquet with text columns, fewer of them if named, and read by the loader."""
-    root = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    root = saved.new_folder(spark, "stored")
     for name, df in _uploads(spark, sf_dir).items():
         text = df.select(*[F.col(column).cast("string").alias(column) for column in df.columns])
         text.drop(*(without or {}).get(name, ())).write.parquet(f"{root}/{name}")
@@ -231,7 +231,7 @@ def _custom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The views are registered over empty tables and follow what is stored later."""
-    database = _new_database(spark)
+    database = storage_queries.new_database(spark)
     sinks.create_tables(spark, database)
     views.register_catalog_views(spark, database)
     for name, df in _database(spark, sf_dir).items():
@@ -252,16 +252,10 @@ def _pad(df: DataFrame) -> DataFrame:
     )
 
 
-def _new_database(spark: SparkSession) -> str:
-    name = f"run_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_folder(spark)}/{name}'")
-    return name
-
-
 def _csv_import(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Write the table as CSV with blanks in header and cells, then import it as an upload."""
-    database = _new_database(spark)
-    folder = f"{shared_folder(spark)}/{database}/{table}-csv"
+    database = storage_queries.new_database(spark)
+    folder = saved.new_folder(spark, f"{table}-csv")
     text = getattr(_uploads(spark, sf_dir), table)
     text = _pad(text.select(*[F.col(name).cast("string").alias(name) for name in text.columns]))
     text.toDF(*[f" {name} " for name in text.columns]).write.csv(
@@ -273,7 +267,7 @@ def _csv_import(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _append_tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends to a new table add up."""
-    database = _new_database(spark)
+    database = storage_queries.new_database(spark)
     rows = _database(spark, sf_dir).tool_usage
     sinks.create_tables(spark, database)
     sinks.append_rows(rows, database, schemas.TOOL_USAGE)
@@ -283,7 +277,7 @@ def _append_tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clear_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table after filling all three, and after clearing them."""
-    database = _new_database(spark)
+    database = storage_queries.new_database(spark)
     sinks.create_tables(spark, database)
     for name, df in _database(spark, sf_dir).items():
         sinks.append_rows(df, database, name)

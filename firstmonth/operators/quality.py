@@ -125,11 +125,14 @@ def constraint_violations(tables: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def broken_rules(table: str) -> Column:
+    """Names of the row-level constraints that a row breaks."""
+    return F.array_compact(F.array(*[F.when(condition, F.lit(rule)) for rule, condition in constraint_rules(table).items()]))
+
+
 def split_violations(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every row-level constraint, and the others with the names of the broken rules."""
-    rules = constraint_rules(table)
-    broken = F.array_compact(F.array(*[F.when(condition, F.lit(rule)) for rule, condition in rules.items()]))
-    checked = df.withColumn("broken_rules", broken)
+    checked = df.withColumn("broken_rules", broken_rules(table))
     clean = F.size("broken_rules") == 0
     return checked.filter(clean).drop("broken_rules"), checked.filter(~clean)
 

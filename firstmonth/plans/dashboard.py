@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from firstmonth import schemas
 from firstmonth.operators import friction, journey, onboarding, overview, quality, support, tools
 from firstmonth.plans.first_month import FirstMonth, prepare
-from firstmonth.sources.shared import shared_folder
+from firstmonth.sources import saved
 from firstmonth.sources.tables import Tables
 
 # Columns the reports read.
@@ -64,13 +63,11 @@ def build_dashboard(raw: Tables, stage: str | None = None, ignore_keys: bool = F
 
 def save_for_reports(first_month: FirstMonth) -> Tables:
     """The cleaned tables as Parquet in the shared folder, narrowed to the report columns."""
-    saved = []
+    stored = []
     for name, df in first_month.tables.items():
-        rows = df.select(*REPORT_COLUMNS[name])
-        folder = f"{shared_folder(rows.sparkSession)}/first-month-{uuid.uuid4().hex}/{name}"
-        rows.write.parquet(folder)
-        saved.append(rows.sparkSession.read.schema(rows.schema).parquet(folder))
-    return Tables(*saved)
+        rows, _ = saved.save(df.select(*REPORT_COLUMNS[name]), f"first-month-{name}")
+        stored.append(rows)
+    return Tables(*stored)
 
 
 def build_pages(tables: Tables) -> dict[str, dict[str, DataFrame]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from firstmonth import schemas
 from firstmonth.sources.tables import conform
@@ -21,28 +24,83 @@ def create_tables(spark: SparkSession, database: str) -> None:
         )
 
 
-def append_rows(df: DataFrame, database: str, table: str) -> None:
-    """Add rows by column name; optional columns that ``df`` lacks get their defaults, a key stays null."""
+def aligned(df: DataFrame, database: str, table: str) -> DataFrame:
+    """Rows in the columns of the stored table; optional ones that ``df`` lacks get their defaults, a key stays null."""
     target = df.sparkSession.table(f"{database}.{table}").schema
     rows = conform(df, table)
     unknown = [name for name in rows.columns if name not in target.names]
     if unknown:
         raise ValueError(f"Table '{table}' has no column(s) {unknown}.")
-    columns = [F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in target]
-    _by_date(rows.select(*columns), table).write.mode("append").insertInto(f"{database}.{table}")
+    columns = [
+        (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in target
+    ]
+    return rows.select(*columns)
+
+
+def insert(rows: DataFrame, database: str, table: str) -> None:
+    """Add rows that have the columns of the stored table."""
+    _by_date(rows, table).write.mode("append").insertInto(f"{database}.{table}")
+
+
+def append_rows(df: DataFrame, database: str, table: str) -> None:
+    """Add rows by column name, whatever constraints they break; ``enforced.append_enforced`` refuses those."""
+    insert(aligned(df, database, table), database, table)
 
 
 def replace_table(df: DataFrame, database: str, table: str) -> None:
     """Put ``df`` in the place of the table, columns included.
 
-    The rows are written to a new folder and only then the name is pointed at it, so a failed job
-    leaves the old table untouched and ``df`` may be derived from the table itself. The old files stay.
+    The rows are written to a folder of their own, a version. With the same columns the table is pointed at it in one
+    catalog call. With others a table is created beside the old one and takes its name by renaming; if that fails the old one
+    gets its name back. Until then readers see the old rows, so ``df`` may be derived from the table itself. Old versions
+    stay until ``remove_old_versions``, as running queries may read them.
     """
     spark = df.sparkSession
     folder = _folder(_location(spark, database), table)
     _by_date(df, table).write.parquet(folder)
-    spark.sql(f"DROP TABLE IF EXISTS {database}.{table}")
-    spark.sql(f"CREATE TABLE {database}.{table} USING parquet LOCATION '{folder}'")
+    name = f"{database}.{table}"
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{folder}'")
+    elif _same_columns(spark.table(name).schema, df.schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+    else:
+        mark = uuid.uuid4().hex
+        spark.sql(f"CREATE TABLE {name}_new_{mark} USING parquet LOCATION '{folder}'")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}_old_{mark}")
+        try:
+            spark.sql(f"ALTER TABLE {name}_new_{mark} RENAME TO {name}")
+        except Exception:
+            spark.sql(f"ALTER TABLE {name}_old_{mark} RENAME TO {name}")
+            raise
+        spark.sql(f"DROP TABLE {name}_old_{mark}")  # the catalog entry; its files are an old version
+    spark.catalog.refreshTable(name)
+
+
+def remove_old_versions(spark: SparkSession, database: str, table: str, hours: float = 24.0) -> int:
+    """Delete versions of the table that are not served and were last written more than ``hours`` ago; how many there were.
+
+    Choose more hours than the longest query runs.
+    """
+    context = spark.sparkContext
+    served = _served_folder(spark, database, table)
+    root = context._jvm.org.apache.hadoop.fs.Path(_location(spark, database))
+    system = root.getFileSystem(context._jsc.hadoopConfiguration())
+    before = (time.time() - hours * 3600) * 1000
+    removed = 0
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if re.fullmatch(rf"{re.escape(table)}-[0-9a-f]{{32}}", name) and name != served and status.getModificationTime() <= before:
+            removed += bool(system.delete(status.getPath(), True))
+    return removed
+
+
+def _served_folder(spark: SparkSession, database: str, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{table}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"].rstrip("/").rpartition("/")[2]
+
+
+def _same_columns(left: StructType, right: StructType) -> bool:
+    return [(f.name, f.dataType) for f in left] == [(f.name, f.dataType) for f in right]
 
 
 def clear_tables(spark: SparkSession, database: str) -> None:

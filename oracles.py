@@ -294,6 +294,39 @@ stored as (select * from tool_usage
            union all select * replace (-1 - usage_id as usage_id) from tool_usage where usage_id % 89 = 0)"""
 
 
+_KEYED = {
+    "onboarding": ("onboarding_id", "employee_id, onboarding_stage, stage_status, start_date, completion_date"),
+    "tool_usage": ("usage_id", "employee_id, tool_name, usage_date, usage_activity, usage_status"),
+    "support_requests": ("request_id", "employee_id, request_category, request_date, request_status, resolution_time"),
+}
+
+
+def _enforced(table: str) -> str:
+    """What two appends store and refuse. ``batch`` 0: stored."""
+    key, others = _KEYED[table]
+    order = ", ".join(f"{name} nulls first" for name in others.split(", "))
+    names = ", ".join(f"case when {broken} then '{rule}' end" for rule, broken in _checks()[table].items())
+    number = f"cast(regexp_extract(cast({key} as varchar), '[0-9]+') as bigint)"
+
+    def judged(batch: str, known: str) -> str:
+        return f"""
+select *, case when rules <> '' then rules when {key} in (select {key} from {known}) or n > 1 then '{key}_unique' else '' end as verdict
+from (select *, row_number() over (partition by {key}, rules order by {order}) as n
+      from (select *, concat_ws(',', {names}) as rules from {batch}))"""
+
+    refused = "select * exclude (rules, n, verdict), verdict as broken_rules, count(*) as copies, {i} as batch from judged{i} where verdict <> '' group by all"
+    return f"""{DATABASE},
+batch1 as (select * from {table} where {number} % 2 = 0 union all select * from {table} where {number} % 14 = 0
+           union all select * replace ('EMP-0' as employee_id) from {table} where {number} % 14 = 0),
+nothing as (select {key} from {table} where false),
+judged1 as materialized ({judged("batch1", "nothing")}),
+stored1 as (select * exclude (rules, n, verdict) from judged1 where verdict = ''),
+judged2 as materialized ({judged(table, "stored1")}),
+stored2 as (select * from stored1 union all select * exclude (rules, n, verdict) from judged2 where verdict = '')
+select *, '' as broken_rules, 1::bigint as copies, 0 as batch from stored2
+union all {refused.format(i=1)} union all {refused.format(i=2)}"""
+
+
 def oracle_sql() -> dict[str, str]:
     tables = ["onboarding", "tool_usage", "support_requests"]
     sql = {}
@@ -303,6 +336,8 @@ def oracle_sql() -> dict[str, str]:
         sql[f"rejected_{table}"] = _rejected(table)
         sql[f"dedup_{table}"] = f"{UPLOADS} select distinct * from {table}"
         sql[f"csv_import_{table}"] = f"{UPLOADS} select * from {table}"
+    for table in tables:
+        sql[f"append_enforced_{table}"] = _enforced(table)
     sql["append_tool_usage"] = f"""{DATABASE} select * from tool_usage union all select * from tool_usage"""
     sql["dedup_tool_usage_ignore_keys"] = f"""{_STORED_AGAIN}
 select min(usage_id) as usage_id, * exclude (usage_id) from stored group by all"""

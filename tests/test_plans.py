@@ -15,7 +15,9 @@ from firstmonth.sources.event_mapping import map_events, read_events
 from firstmonth.sources.tables import load_tables
 
 SF = "/root/testdata/sf0.001"
-WRITES = {"append_tool_usage", "clear_tables"} | {n for n in registry.queries() if n.startswith("csv_import")}
+WRITES = {"append_tool_usage", "clear_tables"} | {
+    n for n in registry.queries() if n.startswith(("csv_import", "append_enforced"))
+}
 
 
 def plan(df, capsys):
