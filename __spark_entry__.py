@@ -20,6 +20,7 @@ import oracles
 import storage_queries
 from firstmonth import schemas
 from firstmonth.operators import (
+    cohort_friction,
     day_zero,
     friction,
     journey,
@@ -149,6 +150,15 @@ def queries() -> dict[str, Query]:
         registered[f"overview_kpis_no_{name}"] = _without(name, overview.overview_kpis)
         registered[f"friction_points_no_{name}"] = _without(name, friction.friction_points)
         registered[f"journey_daily_no_{name}"] = _without(name, journey.journey_daily)
+    registered["onboarding_kpis_no_onboarding"] = _without(
+        schemas.ONBOARDING, lambda t: onboarding.onboarding_kpis(t.onboarding)
+    )
+    registered["tool_kpis_no_tool_usage"] = _without(schemas.TOOL_USAGE, lambda t: tools.tool_kpis(t.tool_usage))
+    registered["support_kpis_no_support_requests"] = _without(
+        schemas.SUPPORT_REQUESTS, lambda t: support.support_kpis(t.support_requests)
+    )
+    registered["friction_points_no_rows"] = _no_friction
+    registered["cohort_friction_all"] = _on_first_month(cohort_friction.cohort_friction)
     registered["dashboard_overview_kpis"] = lambda spark, sf_dir: _dashboard(spark, sf_dir).pages["overview"]["kpis"]
     registered["dashboard_cohort_friction"] = lambda spark, sf_dir: _dashboard(spark, sf_dir, COHORT_STAGE).pages[
         "friction"
@@ -207,6 +217,17 @@ def _without(table: str, operator: Callable[[Tables], DataFrame]) -> Query:
     return run
 
 
+def _no_friction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking when nothing is delayed, nothing fails and nobody asks."""
+    t = _first_month(spark, sf_dir).tables
+    calm = Tables(
+        t.onboarding.filter("stage_status != 'Delayed'"),
+        t.tool_usage.filter("usage_status = 'Success'"),
+        t.support_requests.filter(F.lit(False)),
+    )
+    return friction.friction_points(calm)
+
+
 def _on_uploads(operator: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(_uploads(spark, sf_dir))
 
@@ -230,7 +251,7 @@ def _custom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The views are registered over empty tables and follow what is stored later."""
+    """The views are created over empty tables, follow what is stored later, and are read by another session."""
     database = storage_queries.new_database(spark)
     sinks.create_tables(spark, database)
     views.register_catalog_views(spark, database)
@@ -238,8 +259,8 @@ def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.append_rows(df, database, name)
     sql = f"""
         select tool_name, count(*) as events, count(distinct employee_id) as employees
-        from {schemas.VIEW_TOOL_USAGE} where usage_status = :status group by tool_name"""
-    return run_sql(spark, sql, {"status": "Timeout"})
+        from {database}.{schemas.VIEW_TOOL_USAGE} where usage_status = :status group by tool_name"""
+    return run_sql(spark.newSession(), sql, {"status": "Timeout"})
 
 
 def _pad(df: DataFrame) -> DataFrame:

@@ -66,13 +66,18 @@ def friction_points(tables: Tables) -> DataFrame:
     Each source is merged per group and employee before anything is shuffled by group, which also
     gives the number of affected employees without a second pass.
     """
-    groups = [
-        _tagged(_delayed_stages(tables.onboarding), STAGE_DELAY),
-        _tagged(_failing_tools(tables.tool_usage), TOOL_FAILURE),
-        _tagged(_support_categories(tables.support_requests), SUPPORT),
-    ]
-    everything = groups[0].unionByName(groups[1]).unionByName(groups[2])
-    return _scored(everything, cohort_size(tables.onboarding)).orderBy(*_ranking())
+    everything = tagged_groups(
+        delayed_stages(delayed_per_employee(tables.onboarding)),
+        failing_tools(failing_per_employee(tables.tool_usage)),
+        support_categories(requests_per_employee(tables.support_requests)),
+    )
+    return scored(everything, cohort_size(tables.onboarding).scalar()).orderBy(*ranking())
+
+
+def tagged_groups(stages: DataFrame, tools: DataFrame, categories: DataFrame) -> DataFrame:
+    """The groups of all three sources with what each source contributes to their lines."""
+    groups = [_tagged(stages, STAGE_DELAY), _tagged(tools, TOOL_FAILURE), _tagged(categories, SUPPORT)]
+    return groups[0].unionByName(groups[1]).unionByName(groups[2])
 
 
 def friction_evidence(points: DataFrame) -> DataFrame:
@@ -81,12 +86,12 @@ def friction_evidence(points: DataFrame) -> DataFrame:
 
 def friction_ranked(points: DataFrame) -> DataFrame:
     """With the rank in front. One row per stage, tool and category: a single ordered window is enough."""
-    return points.select(F.row_number().over(Window.orderBy(*_ranking())).alias("rank"), "*")
+    return points.select(F.row_number().over(Window.orderBy(*ranking())).alias("rank"), "*")
 
 
 def primary_bottleneck(points: DataFrame) -> DataFrame:
     """The friction point with the highest score."""
-    return points.orderBy(*_ranking()).limit(1).select(
+    return points.orderBy(*ranking()).limit(1).select(
         "friction_point", "affected_pct", "affected_employees", "evidence", "productivity_impact"
     )
 
@@ -97,28 +102,34 @@ def cohort_size(onboarding: DataFrame) -> DataFrame:
     return employees.agg(F.greatest(F.count("employee_id"), F.lit(1)))
 
 
-def _ranking() -> list[Column]:
+def ranking() -> list[Column]:
     return [F.desc("friction_score"), F.asc("friction_point")]
 
 
-def _delayed_stages(onboarding: DataFrame) -> DataFrame:
+def delayed_per_employee(onboarding: DataFrame) -> DataFrame:
     delayed = onboarding.filter((F.col("stage_status") == "Delayed") & F.col("onboarding_stage").isNotNull())
-    per_employee = delayed.groupBy("onboarding_stage", "employee_id").agg(
+    return delayed.groupBy(F.col("onboarding_stage").alias("name"), "employee_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("duration_days").alias("days"), F.count("duration_days").alias("ended")
     )
+
+
+def delayed_stages(per_employee: DataFrame, *keys: str) -> DataFrame:
     mean = F.try_divide(F.sum("days"), F.sum("ended"))
-    return per_employee.groupBy(F.col("onboarding_stage").alias("name")).agg(
+    return per_employee.groupBy(*keys, "name").agg(
         F.sum("n").alias("frequency"),
         F.count("employee_id").alias("affected_employees"),
         F.coalesce(mean, F.lit(DEFAULT_DELAY_DAYS)).alias("raw_metric"),
     )
 
 
-def _failing_tools(tool_usage: DataFrame) -> DataFrame:
+def failing_per_employee(tool_usage: DataFrame) -> DataFrame:
+    return per_tool_and_employee(tool_usage).withColumnRenamed("tool_name", "name")
+
+
+def failing_tools(per_employee: DataFrame, *keys: str) -> DataFrame:
     failed = F.sum("failed")
     return (
-        per_tool_and_employee(tool_usage)
-        .groupBy(F.col("tool_name").alias("name"))
+        per_employee.groupBy(*keys, "name")
         .agg(
             failed.alias("frequency"),
             F.count_if(F.col("failed") > 0).alias("affected_employees"),
@@ -128,20 +139,23 @@ def _failing_tools(tool_usage: DataFrame) -> DataFrame:
     )
 
 
-def _support_categories(support_requests: DataFrame) -> DataFrame:
+def requests_per_employee(support_requests: DataFrame) -> DataFrame:
     hours = F.col("resolution_time")
-    per_employee = (
+    return (
         support_requests.filter(F.col("request_category").isNotNull())
-        .groupBy("request_category", "employee_id")
+        .groupBy(F.col("request_category").alias("name"), "employee_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
             exact_parts(hours).alias("hours"),
             F.count(hours).alias("timed"),
         )
     )
+
+
+def support_categories(per_employee: DataFrame, *keys: str) -> DataFrame:
     total = parts_total(merged_parts(F.col("hours")))
     mean = F.try_divide(total, F.sum("timed"))
-    return per_employee.groupBy(F.col("request_category").alias("name")).agg(
+    return per_employee.groupBy(*keys, "name").agg(
         F.sum("n").alias("frequency"),
         F.count("employee_id").alias("affected_employees"),
         F.coalesce(mean, F.lit(DEFAULT_RESOLUTION_HOURS)).alias("raw_metric"),
@@ -153,15 +167,17 @@ def _tagged(groups: DataFrame, source: Source) -> DataFrame:
     return groups.select("*", *[F.lit(getattr(source, f.name)).alias(f.name) for f in fields(source)])
 
 
-def _scored(groups: DataFrame, size: DataFrame) -> DataFrame:
+def scored(groups: DataFrame, size: Column, *keys: str) -> DataFrame:
+    """The lines of the ranking, ``keys`` in front; ``size`` is the number of employees that shares refer to."""
     metric, frequency, share = F.col("metric"), F.col("frequency"), F.col("share")
     score = frequency * share * (1 + metric / F.col("metric_divisor")) * F.col("weight")
-    rounded = groups.select("*", (F.col("affected_employees") / size.scalar()).alias("share")).select(
+    rounded = groups.select("*", (F.col("affected_employees") / size).alias("share")).select(
         "*",
         round_exact(F.col("raw_metric"), 1).alias("metric"),
         round_exact(share * 100, 1).alias("affected_pct"),
     )
     return rounded.select("*", score.alias("score")).select(
+        *keys,
         F.concat("label", "name").alias("friction_point"),
         "source",
         "frequency",

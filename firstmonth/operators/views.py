@@ -67,12 +67,13 @@ def first_30_days_support(support_requests: DataFrame, starts: DayZero) -> DataF
 
 
 def register_catalog_views(spark: SparkSession, database: str) -> None:
-    """Make the four views available to SQL as text over the stored tables: they follow every later change.
+    """Create the four views in the catalog as text over the stored tables: they follow every later change of rows and outlive the session.
 
-    Day 0 is grouped and joined when a view is read; Spark picks the join by the sizes it sees then.
+    Day 0 is grouped and joined when a view is read; Spark picks the join by the sizes it sees then. In this session
+    they also go by their bare names. Register again when a table has got other columns.
     """
     start_dates = f"SELECT employee_id, min(start_date) AS joining_date FROM {database}.{schemas.ONBOARDING} GROUP BY employee_id"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {schemas.VIEW_START_DATES} AS {start_dates}")
+    _create_view(spark, database, schemas.VIEW_START_DATES, start_dates)
     tail = {
         schemas.ONBOARDING: """datediff(t.start_date, s.joining_date) AS start_day_offset,
             datediff(t.completion_date, t.start_date) AS stage_duration_days""",
@@ -95,14 +96,21 @@ def register_catalog_views(spark: SparkSession, database: str) -> None:
                 literal = "NULL" if default is None else f"'{default}'"
                 cells.append(f"CAST({literal} AS {field.dataType.simpleString()}) AS {field.name}")
         at = f"t.{schemas.EVENT_DATE[table]}"
-        spark.sql(
-            f"""CREATE OR REPLACE TEMPORARY VIEW {view} AS
-            SELECT {", ".join([*cells[:2], "s.joining_date", *cells[2:], tail[table]])}
+        _create_view(
+            spark,
+            database,
+            view,
+            f"""SELECT {", ".join([*cells[:2], "s.joining_date", *cells[2:], tail[table]])}
             FROM {database}.{table} t JOIN ({start_dates}) s ON t.employee_id = s.employee_id
-            WHERE {at} >= s.joining_date AND {at} <= date_add(s.joining_date, {schemas.WINDOW_DAYS})"""
+            WHERE {at} >= s.joining_date AND {at} <= date_add(s.joining_date, {schemas.WINDOW_DAYS})""",
         )
 
 
+def _create_view(spark: SparkSession, database: str, view: str, text: str) -> None:
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.{view} AS {text}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {view} AS SELECT * FROM {database}.{view}")
+
+
 def register_views(tables: Tables) -> None:
     """The same for tables that are not stored. Day 0 is taken now: register again when the tables change."""
     starts = measure(onboarding_start_dates(tables.onboarding))

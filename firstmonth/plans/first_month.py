@@ -41,10 +41,12 @@ def prepare(
     ignore_keys: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     heavy_rows: int = HEAVY_ROWS,
+    day_zero: DayZero | None = None,
 ) -> FirstMonth:
-    """Compute Day 0 once (one job over two columns per table); everything after it is lazy."""
+    """Compute Day 0 once (one job over two columns per table), unless it is given; everything after it is lazy."""
     raw = Tables(*(conform(df, name) for name, df in raw.items()))
-    day_zero = measure(earliest_days(day_zero_candidates(raw)), broadcast_bytes, heavy_rows)
+    if day_zero is None:
+        day_zero = measure(earliest_days(day_zero_candidates(raw)), broadcast_bytes, heavy_rows)
     return _first_month(raw, day_zero, ignore_keys)
 
 

@@ -16,7 +16,7 @@ from firstmonth.sources.tables import conform
 
 def create_tables(spark: SparkSession, database: str) -> None:
     """Create the three tables where absent, each in its own folder of the database."""
-    root = _location(spark, database)
+    root = location(spark, database)
     for table in schemas.TABLE_NAMES:
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.SCHEMAS[table])
         spark.sql(
@@ -56,7 +56,7 @@ def replace_table(df: DataFrame, database: str, table: str) -> None:
     stay until ``remove_old_versions``, as running queries may read them.
     """
     spark = df.sparkSession
-    folder = _folder(_location(spark, database), table)
+    folder = _folder(location(spark, database), table)
     _by_date(df, table).write.parquet(folder)
     name = f"{database}.{table}"
     if not spark.catalog.tableExists(name):
@@ -83,7 +83,7 @@ def remove_old_versions(spark: SparkSession, database: str, table: str, hours: f
     """
     context = spark.sparkContext
     served = _served_folder(spark, database, table)
-    root = context._jvm.org.apache.hadoop.fs.Path(_location(spark, database))
+    root = context._jvm.org.apache.hadoop.fs.Path(location(spark, database))
     system = root.getFileSystem(context._jsc.hadoopConfiguration())
     before = (time.time() - hours * 3600) * 1000
     removed = 0
@@ -117,7 +117,7 @@ def _by_date(df: DataFrame, table: str) -> DataFrame:
     return df.sortWithinPartitions(date_column) if date_column in df.columns else df
 
 
-def _location(spark: SparkSession, database: str) -> str:
+def location(spark: SparkSession, database: str) -> str:
     return spark.catalog.getDatabase(database).locationUri
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
@@ -91,13 +92,18 @@ def load_jdbc_table(
     upper: int | None = None,
     partitions: int = 32,
     single_task: bool = False,
+    predicates: list[str] | None = None,
 ) -> DataFrame:
-    """One table of an operational database, read in parallel ranges of a numeric key.
+    """One table of an operational database, read in parallel ranges of a numeric key, or one task for each of ``predicates``.
 
-    Bounds that are not given come from one ``min``/``max`` query. Reading all of it in one task has to be asked for.
+    ``moment_ranges`` and ``hash_parts`` make predicates for tables without a numeric key. Bounds that are not given come from
+    one ``min``/``max`` query. Reading all of it in one task has to be asked for.
     """
     if single_task:
         return conform(_jdbc(spark, url, table, properties, {}).load(), table)
+    if predicates:
+        options = {"preferTimestampNTZ": "true", **properties}
+        return conform(spark.read.jdbc(url, table, predicates=predicates, properties=options), table)
     if not partition_column:
         raise ValueError(f"Name a numeric key of {table} to read it in parallel, or ask for a single task.")
     if lower is None or upper is None:
@@ -122,6 +128,42 @@ def range_options(partition_column: str, lower: int | None, upper: int | None, p
     }
 
 
+def moment_ranges(column: str, lower: date, upper: date, partitions: int) -> list[str]:
+    """Predicates over equal spans from ``lower`` to ``upper``, both dates or both datetimes; every row fits exactly one.
+
+    Rows before, after and without a value belong to the first and the last of them.
+    """
+    if lower > upper or partitions < 1:
+        raise ValueError(f"No ranges from {lower} to {upper} in {partitions} parts.")
+    kind = "TIMESTAMP" if isinstance(lower, datetime) else "DATE"
+    bounds = sorted({lower + (upper - lower) * i / partitions for i in range(1, partitions)} - {lower})
+    bounds = [f"{kind} '{b.isoformat(*([' '] if kind == 'TIMESTAMP' else []))}'" for b in bounds]
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(bounds, bounds[1:])]
+    return [f"{column} < {bounds[0]} OR {column} IS NULL", *inner, f"{column} >= {bounds[-1]}"]
+
+
+#: Part number of a text key, by the database that evaluates it.
+TEXT_HASH = {
+    "postgresql": "mod(abs(hashtext({column})::bigint), {n})",
+    "mysql": "mod(crc32({column}), {n})",
+    "sqlserver": "abs(cast(checksum({column}) as bigint)) % {n}",
+    "oracle": "ora_hash({column}, {n} - 1)",
+}
+
+
+def hash_parts(column: str, partitions: int, text_hash: str = TEXT_HASH["postgresql"]) -> list[str]:
+    """Predicates that deal the rows by the hash of a text key; every row fits exactly one, those without a key the first.
+
+    A database may hash a missing key to a number as well, hence the test for it in all parts.
+    """
+    if partitions < 1:
+        raise ValueError(f"No rows in {partitions} parts.")
+    number = text_hash.format(column=column, n=partitions)
+    return [f"{column} IS NULL OR {number} = 0", *[f"{column} IS NOT NULL AND {number} = {i}" for i in range(1, partitions)]]
+
+
 def _jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str, str], ranges: Mapping[str, Any]) -> DataFrameReader:
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, preferTimestampNTZ="true", **properties)
     return reader.options(**ranges)

@@ -288,6 +288,13 @@ _DEFAULTS = {
     "support_requests": "cast(null as double) as resolution_time, 'Pending' as request_status",
 }
 
+# Columns an upload must have.
+_REQUIRED = {
+    "onboarding": ["employee_id", "onboarding_stage", "start_date"],
+    "tool_usage": ["employee_id", "tool_name", "usage_date"],
+    "support_requests": ["employee_id", "request_category", "request_date"],
+}
+
 #: Tool rows stored a second time under other keys.
 _STORED_AGAIN = f"""{DATABASE},
 stored as (select * from tool_usage
@@ -338,6 +345,24 @@ def oracle_sql() -> dict[str, str]:
         sql[f"csv_import_{table}"] = f"{UPLOADS} select * from {table}"
     for table in tables:
         sql[f"append_enforced_{table}"] = _enforced(table)
+    sql["append_dedup_tool_usage"] = f"""{DATABASE},
+batches as (select 1 as batch, * from tool_usage where usage_id % 3 > 0
+            union all select 1, * replace (-1 - usage_id as usage_id) from tool_usage where usage_id % 89 = 0
+            union all select 2, * from tool_usage)
+select * exclude (batch) from batches
+qualify row_number() over (
+  partition by employee_id, tool_name, usage_date, usage_activity, usage_status order by batch, usage_id) = 1"""
+    sql["day_zero_incremental"] = f"{CLEANED} select employee_id, joining_date from day_zero"
+    sql["clean_tool_usage_kept_day_zero"] = f"{CLEANED} select * from tool"
+    sql["csv_import_onboarding_other_dates"] = f"{UPLOADS} select * from onboarding"
+    sql["upload_refusals"] = f"{UPLOADS}\n" + " union all ".join(
+        [
+            f"""select '{t}' as table_name, 'no rows' as upload, 'The upload for {t} has no rows.' as message
+union all select '{t}', 'no column', 'The upload for {t} lacks [''{needed[1]}'']; it must have [''{"'', ''".join(needed)}''].'"""
+            for t, needed in _REQUIRED.items()
+        ]
+        + [f"select 'all', 'has rows', case when {' or '.join(f'exists (select * from {t})' for t in tables)} then 'True, False' end"]
+    )
     sql["append_tool_usage"] = f"""{DATABASE} select * from tool_usage union all select * from tool_usage"""
     sql["dedup_tool_usage_ignore_keys"] = f"""{_STORED_AGAIN}
 select min(usage_id) as usage_id, * exclude (usage_id) from stored group by all"""
@@ -476,4 +501,17 @@ from ({_ONBOARDING_KPIS}) k cross join ({_SUPPORT_KPIS}) s cross join ({_TOOL_KP
         sql[f"overview_kpis_no_{table}"] = cleaned + overview
         sql[f"friction_points_no_{table}"] = f"{cleaned}{_friction()} select * from friction"
         sql[f"journey_daily_no_{table}"] = sql["journey_daily"].replace(CLEANED, cleaned)
+    sql["onboarding_kpis_no_onboarding"] = f"{_uploads('onboarding')}{_CLEAN}{_STAGES}{_ONBOARDING_KPIS}"
+    sql["tool_kpis_no_tool_usage"] = f"{_uploads('tool_usage')}{_CLEAN}{_TOOLS}{_TOOL_KPIS}"
+    sql["support_kpis_no_support_requests"] = f"{_uploads('support_requests')}{_CLEAN}{_CATEGORIES}{_SUPPORT_KPIS}"
+    sql["friction_points_no_rows"] = f"""{CLEANED},
+calm_onb as (select * from onb where stage_status != 'Delayed'), calm_tool as (select * from tool where usage_status = 'Success'),
+calm_sup as (select * from sup where false){_friction("calm_onb", "calm_tool", "calm_sup")} select * from friction"""
+    cohorts = []
+    for n in range(1, 7):
+        here = f"employee_id in (select employee_id from onb where onboarding_stage = 'Stage-{n}')"
+        names = [f"(select * from {t} where {here})" for t in ("onb", "tool", "sup")]
+        lines = _friction(*names).lstrip(",\n")
+        cohorts.append(f"select 'Stage-{n}' as onboarding_stage, * from (with {lines} select * from friction) where exists {names[0]}")
+    sql["cohort_friction_all"] = f"{CLEANED}\n" + "\nunion all ".join(cohorts)
     return sql

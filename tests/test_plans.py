@@ -16,7 +16,7 @@ from firstmonth.sources.tables import load_tables
 
 SF = "/root/testdata/sf0.001"
 WRITES = {"append_tool_usage", "clear_tables"} | {
-    n for n in registry.queries() if n.startswith(("csv_import", "append_enforced"))
+    n for n in registry.queries() if n.startswith(("csv_import", "append_"))
 }
 
 

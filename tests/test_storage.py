@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from decimal import Decimal
 
+import duckdb
 import pytest
-from helpers import day, moment, onboarding, support, tool_usage
+from helpers import day, moment, onboarding, support, tables, tool_usage
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
-from firstmonth.sources import enforced, saved, sinks
+from firstmonth.__main__ import main, typed_parameter
+from firstmonth.operators import cohort_friction, friction, kept_day_zero, views
+from firstmonth.plans.first_month import prepare
+from firstmonth.sources import enforced, fingerprints, saved, sinks
+from firstmonth.sources.event_mapping import map_events, read_events
+from firstmonth.sources.tables import hash_parts, moment_ranges, run_sql
 
 
 @pytest.fixture
@@ -157,3 +164,181 @@ def test_only_the_own_run_is_discarded(spark):
     kept, counts = saved.save(spark.range(3), "numbers", n=F.count(F.lit(1)), size=saved.held_bytes("id"))
     assert kept.count() == counts["n"] == 3 and counts["size"] == 3 * (2 + 192)
     assert spark.sparkContext.applicationId in saved.run_folder(spark) and kept.inputFiles()[0].find(saved.run_folder(spark)) >= 0
+
+
+# duplicates against stored rows
+
+
+def used(spark, *rows):
+    """(key, employee, tool)"""
+    table = tool_usage(spark, *[(e, t, moment(1), "Success") for _, e, t in rows])
+    keys = spark.createDataFrame([(k, e, t) for k, e, t in rows], "usage_id bigint, employee_id string, tool_name string")
+    return keys.join(table.distinct(), [keys.employee_id.eqNullSafe(table.employee_id), keys.tool_name == table.tool_name]).select(
+        "usage_id", *[table[c] for c in table.columns]
+    )
+
+
+def kept(spark, database):
+    return sorted((r.usage_id, r.employee_id, r.tool_name) for r in spark.table(f"{database}.tool_usage").collect())
+
+
+@pytest.mark.parametrize("broadcast_bytes", [saved.BROADCAST_BYTES, 0])
+def test_copies_of_stored_rows_are_not_stored(spark, database, broadcast_bytes):
+    def append(*rows, **options):
+        return fingerprints.append_distinct(used(spark, *rows), database, schemas.TOOL_USAGE, broadcast_bytes=broadcast_bytes, **options)
+
+    assert append((5, "a", "T"), (3, "a", "T"), (4, "b", "T")) == 2
+    assert append((1, "a", "T"), (9, "c", "T"), (8, "b", "T")) == 1
+    assert kept(spark, database) == [(3, "a", "T"), (4, "b", "T"), (9, "c", "T")]
+    assert append((3, "a", "T"), (2, "a", "T"), ignore_keys=False) == 1  # with the key it is another row
+    assert append() == 0
+
+
+def test_rows_stored_by_other_ways_are_found(spark, database):
+    sinks.append_rows(used(spark, (1, "a", "T")), database, schemas.TOOL_USAGE)
+    assert fingerprints.append_distinct(used(spark, (2, "a", "T"), (3, "b", "T")), database, schemas.TOOL_USAGE) == 1
+    sinks.replace_table(used(spark, (7, "c", "T")), database, schemas.TOOL_USAGE)  # fingerprints of the old version do not count
+    assert fingerprints.append_distinct(used(spark, (8, "a", "T"), (9, "c", "T")), database, schemas.TOOL_USAGE) == 1
+    assert kept(spark, database) == [(7, "c", "T"), (8, "a", "T")]
+
+
+def test_only_files_with_candidates_are_read(spark, database, monkeypatch):
+    for i in range(4):
+        fingerprints.append_distinct(used(spark, (i, f"e{i}", "T")), database, schemas.TOOL_USAGE)
+    read, original = [], type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **k: read.append(paths) or original(self, *paths, **k))
+    fingerprints.append_distinct(used(spark, (10, "e2", "T"), (11, "new", "T")), database, schemas.TOOL_USAGE)
+    of_table = [p for paths in read for p in paths if "/tool_usage-" in p]
+    assert len(of_table) == 2  # the file that holds e2, and afterwards the file just written
+
+
+def test_equal_fingerprints_are_no_copies(spark, database, monkeypatch):
+    monkeypatch.setattr(fingerprints, "fingerprint", lambda columns: F.lit(1).cast("bigint"))
+    assert fingerprints.append_distinct(used(spark, (1, "a", "T"), (2, "b", "T")), database, schemas.TOOL_USAGE) == 2
+    assert fingerprints.append_distinct(used(spark, (3, "a", "T"), (4, "c", "T")), database, schemas.TOOL_USAGE) == 1
+
+
+def test_nulls_are_equal_and_stay_in_their_column(spark, database):
+    rows = tool_usage(spark, ("e", "Wiki", moment(1), None), (None, "Wiki", moment(1), "Success"))
+    assert fingerprints.append_distinct(rows, database, schemas.TOOL_USAGE) == 2
+    assert fingerprints.append_distinct(rows, database, schemas.TOOL_USAGE) == 0
+
+
+# kept Day 0
+
+
+def days(spark, database):
+    return {r.employee_id: (str(r.joining_date), r.source_rows) for r in kept_day_zero.kept_days(spark, database).collect()}
+
+
+def test_appends_move_day_zero_back_only(spark, database):
+    def merge(**parts):
+        kept_day_zero.merge(tables(spark, **parts), database)
+
+    merge(onb=[("a", "S", "Completed", day(9), None), (None, "S", "Completed", day(0), None), ("n", "S", "Completed", None, None)])
+    assert days(spark, database) == {"a": (str(day(9)), 1)}
+    merge(tool=[("a", "Wiki", moment(4), "Success"), ("b", "Wiki", moment(8, 23), "Success"), ("n", "Wiki", moment(3), "Success")])
+    merge(sup=[("r", "a", "C", moment(20), "Pending", None)])
+    merge()
+    assert days(spark, database) == {"a": (str(day(4)), 3), "b": (str(day(8)), 1), "n": (str(day(3)), 2)}
+    kept_day_zero.rebuild(tables(spark, onb=[("z", "S", "Completed", day(1), None)]), database)
+    assert days(spark, database) == {"z": (str(day(1)), 1)}
+
+
+def test_a_given_day_zero_reads_no_table(spark, database):
+    raw = tables(spark, onb=[("a", "S", "Completed", day(2), day(4))], tool=[("a", "Wiki", moment(1), "Success")])
+    kept_day_zero.merge(raw, database)
+    month = prepare(raw, day_zero=kept_day_zero.load(spark, database))
+    assert [r.days_since_joining for r in month.tables.onboarding.collect()] == [1]
+    assert month.day_zero.source_rows == 2
+
+
+# parts of a database table
+
+
+def fitting(predicates, values, kind):
+    """How many predicates each value fits, by DuckDB."""
+    connection = duckdb.connect()
+    connection.execute(f"create table t (k {kind})")
+    connection.executemany("insert into t values (?)", [(v,) for v in values])
+    each = " + ".join(f"coalesce(({p})::int, 0)" for p in predicates)
+    return [row[0] for row in connection.execute(f"select {each} from t").fetchall()]
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 50])
+def test_ranges_of_moments_hold_every_row_once(partitions):
+    values = [None, *[day(n) for n in (-400, 0, 1, 15, 29, 30, 31, 900)]]
+    assert set(fitting(moment_ranges("k", day(0), day(30), partitions), values, "date")) == {1}
+    values = [None, moment(-9), *[moment(n, n % 24, n % 60) for n in range(0, 31)], moment(99)]
+    predicates = moment_ranges("k", moment(0), moment(30, 23), partitions)
+    assert len(predicates) == partitions and set(fitting(predicates, values, "timestamp")) == {1}
+    assert moment_ranges("k", day(3), day(3), partitions) == ["1 = 1"]
+    with pytest.raises(ValueError):
+        moment_ranges("k", day(1), day(0), 2)
+
+
+def test_hash_parts_hold_every_row_once():
+    values = [None, "", *[f"REQ-{i}" for i in range(500)]]
+    predicates = hash_parts("k", 8, "hash({column}) % {n}")
+    assert len(predicates) == 8 and set(fitting(predicates, values, "varchar")) == {1}
+    assert hash_parts("request_id", 2)[1] == "request_id IS NOT NULL AND mod(abs(hashtext(request_id)::bigint), 2) = 1"
+    with pytest.raises(ValueError):
+        hash_parts("k", 0)
+
+
+# cohorts of all stages
+
+
+def test_cohorts_of_all_stages_equal_one_run_each(spark):
+    month = prepare(map_events(read_events(spark, "/root/testdata/sf0.001")))
+    together = cohort_friction.cohort_friction(month.tables)
+    found = [tuple(r) for r in together.collect()]
+    expected = []
+    for stage in sorted({r[0] for r in found}):
+        expected += [(stage, *r) for r in friction.friction_points(month.cohort(stage).tables).collect()]
+    assert found == expected and len({r[0] for r in found}) == 6
+
+
+def test_more_stages_than_bits_of_a_word(spark):
+    rows = [("a", f"S{i:03}", "Delayed", day(0), day(1)) for i in range(130)] + [("b", "S129", "Delayed", day(0), None)]
+    month = prepare(tables(spark, onb=rows))
+    by_stage = Counter(r.onboarding_stage for r in cohort_friction.cohort_friction(month.tables).collect())
+    assert by_stage == {f"S{i:03}": 130 for i in range(130)}
+    assert cohort_friction.cohort_friction(prepare(tables(spark)).tables).collect() == []
+
+
+# views
+
+
+def test_views_outlive_the_session(spark, database):
+    views.register_catalog_views(spark, database)
+    sinks.append_rows(onboarding(spark, ("a", "S", "Completed", day(3), None)), database, schemas.ONBOARDING)
+    other = spark.newSession()
+    assert [r.employee_id for r in other.table(f"{database}.{schemas.VIEW_START_DATES}").collect()] == ["a"]
+    assert other.sql(f"select start_day_offset from {database}.{schemas.VIEW_ONBOARDING}").first()[0] == 0
+
+
+# command line
+
+
+def test_append_refuses_and_cleans(spark, database, tmp_path, capsys):
+    (tmp_path / "up.csv").write_text("employee_id,onboarding_stage,start_date,stage_status\nA,S,2026-01-05,Delayed\nB,S,2026-01-05,Lost\n,S,2026-01-05,Delayed\n")
+    arguments = ["append", "--database", database, "--table", "onboarding", "--csv", f"{tmp_path}/up.csv", "--refused", f"{tmp_path}/refused"]
+    main(arguments, spark)
+    assert "1 rows stored, 2 refused" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_path}/refused").count() == 2
+    sinks.clear_tables(spark, database)
+    main(["clean", "--database", database, "--hours", "0"], spark)
+    assert "old versions of onboarding removed" in capsys.readouterr().out
+
+
+def test_typed_parameters(spark, tmp_path):
+    assert typed_parameter("a=b=c") == ("a", "b=c") and typed_parameter("a=") == ("a", "")
+    assert typed_parameter("n:int=3") == ("n", 3) and typed_parameter("n:int=") == ("n", None)
+    assert typed_parameter("d:date=2026-01-05") == ("d", day(0)) and typed_parameter("b:bool=TRUE") == ("b", True)
+    assert typed_parameter("t:timestamp=2026-01-05 01:00:00") == ("t", moment(0, 1))
+    bound = run_sql(spark, "select :n + 1 as n, :d as d, :x as x", dict(map(typed_parameter, ["n:int=3", "d:date=2026-01-05", "x:decimal=1.50"])))
+    assert tuple(bound.first()) == (4, day(0), Decimal("1.50"))
+    for bad in ("a", "=1", "a:what=1", "a:int=x", "a:bool=1"):
+        with pytest.raises(ValueError):
+            typed_parameter(bad)
