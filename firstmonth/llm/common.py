@@ -6,7 +6,9 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ BROADCAST_BYTES = 128_000_000
 #: Rows that Python code looks at together; bounds its memory next to Arrow's own limit of 64 MB a batch.
 SLICE_ROWS = 256
 
+#: Bytes of text that Python code turns into ids at once, if no single text is longer.
+SLICE_BYTES = 2_000_000
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
@@ -84,6 +89,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def sliced_by_size(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``SLICE_ROWS`` rows whose texts in ``column`` take at most ``size`` bytes, or of one longer text."""
+    for batch in sliced(batches):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder and the path in it, for tasks that read or write files themselves."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))

@@ -4,11 +4,10 @@ Documents become pieces of at most ``capacity`` tokens; a piece's length is all
 histogram of lengths (at most ``capacity`` rows, whatever the input) goes to the driver. There each bin takes the
 longest length left, and a subset-sum table held as the bits of an integer finds the fullest combination of other
 lengths beside it. The combination is removed as often as its lengths last, as the same search would find it again. Pieces are
-numbered within their length on the executors and look up their bin by that number.
+numbered within their length in the order in which they were written, without moving them, and look up their bin by that number.
 
-Null text counts as empty: one piece that holds the end id only. Repeated rows are packed as often as they occur;
-rows of equal id are ordered by content, so equal rows may swap places, which nobody can tell. Null ids come first.
-An empty table gives no pieces. Other columns are not read. A document is encoded within one task.
+Null text counts as empty: one piece that holds the end id only. Repeated rows are packed as often as they occur. Which of the
+pieces of one length shares a bin with which others follows from the order in the files; any order fills the same bins. An empty table gives no pieces. Other columns are not read. A document is encoded within one task.
 """
 
 from __future__ import annotations
@@ -19,19 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from firstmonth.llm.common import measured_broadcast, save, sliced
-from firstmonth.llm.tokens import END_ID, ID_TYPE, KNOWN, encoder, tokenizer_path
+from firstmonth.llm.common import measured_broadcast, save, sliced_by_size
+from firstmonth.llm.tokens import END_ID, ID_TYPE, KNOWN, encoder, forget_encoders, tokenizer_path
 
 CAPACITY = 1024
 
-#: Pieces that are numbered together; a length with more is split by a hash.
-RUN = 50_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: The task that wrote a piece, and how many pieces of its length the task had written before.
+WRITTEN = "task int, place long"
 PLACES = f"{PIECES}, sequence_id long, offset long"
 
 
@@ -45,29 +44,27 @@ def pieces(
     path = path or tokenizer_path()
     end = np.array([END_ID], dtype=ID_TYPE).tobytes()
     size = ID_TYPE.itemsize
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, known).encode
-        for batch in sliced(batches):
-            doc_ids = batch.column(0).to_pylist()
+        encode, task = encoder(path, known).encode, TaskContext.get().partitionId()
+        written: Counter = Counter()
+        for batch in sliced_by_size(batches, 1):
             rows = []
-            for doc_id, ids in zip(doc_ids, encode([x or "" for x in batch.column(1).to_pylist()])):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()])):
                 ids += end
                 n = len(ids) // size
-                start, length = 0, n % capacity or capacity
-                piece = 0
+                start, length, piece = 0, n % capacity or capacity, 0
                 while start < n:
                     part = ids[start * size : (start + length) * size]
-                    rows.append((doc_id, piece, start, length, zlib.crc32(part), part))
+                    rows.append((doc_id, piece, start, length, zlib.crc32(part), task, written[length], part if with_ids else None))
+                    written[length] += 1
                     start, length, piece = start + length, capacity, piece + 1
-            columns = list(zip(*rows))[: 6 if with_ids else 5]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            arrays = [pa.array(column, kind) for column, kind in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
+            arrays = [pa.array(column, kind) for column, kind in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = f"{PIECES}, ids binary" if with_ids else PIECES
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"{PIECES}, {WRITTEN}" + ", ids binary" * with_ids)
 
 
 def fullest(room: int, available: dict[int, int]) -> list[int]:
@@ -128,11 +125,11 @@ def bin_ranges(combinations: list[tuple[Counter, int]]) -> np.ndarray:
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each of ``parts`` (a saved table of pieces) its ``sequence_id`` and gapless ``offset``."""
-    spark = parts.sparkSession
-    counts = {row["length"]: row["n"] for row in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    ranges = spark.sparkContext.broadcast(bin_ranges(minimum_slack(counts, capacity)))
+    numbered, counts = _numbered(parts)
+    ranges = parts.sparkSession.sparkContext.broadcast(bin_ranges(minimum_slack(counts, capacity)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         lengths, firsts, bins, uses, offsets = ranges.value.T
         starts = lengths << 48 | firsts
         for batch in batches:
@@ -148,29 +145,24 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return _numbered(parts, counts).mapInArrow(place, schema)
-
-
-def _numbered(parts: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """``number``: 0, 1, 2, ... within each length. Lengths with many pieces are numbered in runs."""
-    names = parts.columns
-    runs = {length: n // RUN + 1 for length, n in counts.items() if n > RUN}
-    run = F.lit(0).cast("long")
-    if runs:
-        many = F.create_map(*[F.lit(int(x)) for item in runs.items() for x in item])
-        run = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.coalesce(many[F.col("length").cast("int")], F.lit(1)))
-    parts = parts.withColumn("run", run)
-    before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        parts.groupBy("length", "run")
-        .agg(F.count("*").alias("n"))
-        .select("length", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    )
-    order = Window.partitionBy("length", "run").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = parts.withColumn("place", F.row_number().over(order))
-    joined = numbered.join(measured_broadcast(save(offsets, "piece-runs")), ["length", "run"])
-    return joined.select(*names, (F.col("before") + F.col("place") - 1).cast("long").alias("number"))
+    fields = [f for f in numbered.schema.fields if f.name != "number"]
+    schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return numbered.mapInArrow(place, schema)
+
+
+def _numbered(parts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``number``: 0, 1, 2, ... within each length; and how many pieces of each length there are.
+
+    A piece knows its place among those of its length in the task that wrote it. Sums over the tasks tell how many there
+    are before; a table of one row for each task and length, small beside the pieces, which therefore stay where they are.
+    """
+    names = [name for name in parts.columns if name not in ("task", "place")]
+    written = save(parts.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
+    counts = {row["length"]: row["n"] for row in written.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    joined = parts.join(measured_broadcast(save(offsets, "piece-offsets")), ["length", "task"])
+    return joined.select(*names, (F.col("before") + F.col("place")).cast("long").alias("number")), counts
 
 
 def pack_documents(

@@ -16,10 +16,18 @@ from tokenizers import Tokenizer
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
-#: Distinct pieces whose ids a Python worker keeps, unless told otherwise.
-KNOWN = 700_000
+#: Distinct words and pieces whose ids a Python worker keeps, each, unless told otherwise.
+KNOWN = 300_000
 ID_TYPE = np.dtype("<u4")
 
+# Characters of which is known what a byte-level tokenizer's own split takes them for: letters, digits, space, other signs.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SPACE = r"\t\n\x0b\x0c\r\x20"
+_SIGN = r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f\u2010-\u2027\u20ac"
+_UNKNOWN = re.compile(f"[^{_LETTER}0-9{_SPACE}{_SIGN}]")
+_WORDS = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)|\x20?[{_LETTER}]+|\x20?[0-9]+|\x20?[{_SIGN}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits, and no part of contractions
@@ -32,15 +40,18 @@ def tokenizer_path() -> str:
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids, equal to the library's for the whole text.
 
-    A byte-level tokenizer never joins tokens across a space between two other characters: a new piece always
-    starts at that space. Such texts are cut there, and pieces of plain words are cut again at line ends and before
-    closing punctuation, where tokens never join either. The library encodes each distinct part once for as long as it is
-    among the ``limit`` ones kept. All other tokenizers get whole texts.
+    A byte-level tokenizer splits a text into words before it looks for tokens, and no token crosses them. Texts of
+    letters, digits, spaces and signs whose kind is known are split here in the same way. A word is kept when it comes
+    a second time while it is remembered, so that the many that come once don't crowd out the others. All other texts are
+    cut at a space between two other characters, where a word always begins, and pieces of plain words again at line ends
+    and before closing punctuation. ``limit`` bounds what is kept of each kind, not what comes out. All other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, limit: int = KNOWN):
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.words: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes | None] = {}
         self.loose: dict[str, bytes] = {}
@@ -51,6 +62,30 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mark is None:
             return [_bytes(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self.mark not in text and not _UNKNOWN.search(text) for text in texts]
+        words = iter(self._encode_words([text for text, known in zip(texts, plain) if known]))
+        others = iter(self._encode_pieces([text for text, known in zip(texts, plain) if not known]))
+        return [next(words) if known else next(others) for known in plain]
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        found = [_WORDS.findall(text) for text in texts]
+        new = set().union(*found).difference(self.words)
+        again = new.intersection(self.once)
+        for x in again:
+            self.words[x] = self.once.pop(x)
+        fresh: dict[str, bytes] = {}
+        self._encode_new(fresh, new - again)
+        self.words.update(fresh)
+        encoded = [b"".join(map(self.words.__getitem__, words)) for words in found]
+        for x in fresh:
+            del self.words[x]
+        self.once.update((x, ids) for x, ids in fresh.items() if len(x) <= _LONG)
+        self._forget()
+        return encoded
+
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         pieces = [text.split(" ") for text in texts]
         self._learn(self.first, {p[0] for p in pieces}, "")
         self._learn(self.inner, set().union(*pieces), " ")
@@ -73,7 +108,7 @@ class Encoder:
     def _learn(self, known: dict, pieces: set[str], before: str) -> None:
         new = list(pieces.difference(known))
         cut = [_parts(before + x) for x in new]
-        self._encode_parts(set().union(*cut).difference(self.parts))
+        self._encode_new(self.parts, set().union(*cut).difference(self.parts))
         for x, parts in zip(new, cut):
             known[x] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
         self.long += [(known, x) for x in new if len(x) > _LONG]
@@ -82,7 +117,7 @@ class Encoder:
                 if not x or x[0].isspace() or x[-1].isspace():
                     known[x] = None
 
-    def _encode_parts(self, new: set[str]) -> None:
+    def _encode_new(self, known: dict[str, bytes], new: set[str]) -> None:
         plain = [x for x in new if self.mark not in x]
         for at in range(0, len(plain), 10_000):
             part = plain[at : at + 10_000]
@@ -91,17 +126,17 @@ class Encoder:
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
             size = ID_TYPE.itemsize
             for x, start, end in zip(part, (starts * size).tolist(), (ends * size).tolist()):
-                self.parts[x] = raw[start:end]
+                known[x] = raw[start:end]
         for x in new:
             if self.mark in x:
-                self.parts[x] = _bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
-        self.long += [(self.parts, x) for x in new if len(x) > _LONG]
+                known[x] = _bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+        self.long += [(known, x) for x in new if len(x) > _LONG]
 
     def _forget(self) -> None:
         for known, x in self.long:
             known.pop(x, None)
         self.long.clear()
-        for known in (self.first, self.inner, self.loose, self.parts):
+        for known in (self.words, self.once, self.first, self.inner, self.loose, self.parts):
             if len(known) > self.limit:
                 known.clear()
 
@@ -143,6 +178,11 @@ def encoder(path: str, limit: int = KNOWN) -> Encoder:
     return _encoders[path, limit]
 
 
+def forget_encoders() -> None:
+    """Give back the memory of this Python worker's encoders, where later steps of a job need none."""
+    _encoders.clear()
+
+
 def _array(ids: list[int]) -> np.ndarray:
     return np.array(ids, dtype=ID_TYPE)
 

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from firstmonth.llm import huffman, packing, token_counts
+from firstmonth.llm import common, huffman, packing, token_counts
 from firstmonth.llm.registry import op2_huffman, op8_packing
 from firstmonth.llm.tokens import END_ID, Encoder, tokenizer_path
 from tokenizers import Tokenizer
@@ -164,8 +164,34 @@ def test_packing(spark, documents, library):
     assert not pieces
 
 
-def test_packing_odd_rows_and_runs(odd, nothing, monkeypatch):
-    monkeypatch.setattr(packing, "RUN", 2)
+def test_a_third_of_the_rows_is_one_empty_text_without_id(spark, capsys):
+    """Spread over the tasks that read them, and numbered without moving a piece."""
+    rows = [(None, None)] * 500 + [(i, f"text {i} " * (i % 60)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    placed = packing.pack_documents(docs, capacity=64, with_ids=True)
+    placed.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "BroadcastHashJoin" in plan and " Exchange" not in plan.replace("BroadcastExchange", "")
+    found = placed.collect()
+    check_packed(found, 64)
+    assert sum(r.doc_id is None for r in found) == 500
+    shuffled = packing.pack(common.save(packing.pieces(docs, 64), "test-pieces").hint("merge"), 64)
+    check_packed(shuffled.collect(), 64)
+
+
+def test_texts_of_any_kind_of_character_equal_the_library(library):
+    rng = random.Random(1)
+    signs = ["a", "Z", "é", "ɏ", "×", "0", " ", " ", "\n", "\t", "\r", "'", "'s", "'ll", "'RE", " '", "-", "!", "_", "\x1c", "\x85"]
+    signs += ["\xa0", "½", "ª", "’", "—", "€", "中", "😀", "<|endoftext|>", "\x00", "\x7f", "don't", " the"]
+    texts = ["".join(rng.choice(signs[: rng.randrange(8, 33)]) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    for limit in (0, 50, 10_000):  # words come and go
+        encoder = Encoder(tokenizer_path(), limit)
+        found = [ids for i in range(0, len(texts), 50) for ids in encoder.encode(texts[i : i + 50])]
+        assert [list(np.frombuffer(x, "<u4")) for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words) <= limit and len(encoder.once) <= limit
+
+
+def test_packing_odd_rows(odd, nothing):
     placed = packing.pack_documents(odd, capacity=16, with_ids=True)
     rows = placed.collect()
     check_packed(rows, 16)
