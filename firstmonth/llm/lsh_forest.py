@@ -144,7 +144,10 @@ def candidate_ties(classes: DataFrame) -> DataFrame:
         ),
     )
     paths = classes.select("digest", F.inline(nodes))
-    shared = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # near copies meet in most tries: of all nodes with the same members one is enough, as their signatures are compared as a whole
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "digest")).alias(f"members{i}") for i in range(2)]
+    nodes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
+    shared = nodes.groupBy("n", "members0", "members1").agg(F.min("node").alias("node")).select("node", "n")
     members = paths.join(shared, "node").withColumn("n_blocks", F.ceil(F.col("n") / NODE_BLOCK))
     members = members.withColumn("block", F.pmod(F.xxhash64("digest"), "n_blocks"))
     members = members.select("digest", "tree", "node", F.inline(_block_pairs("n_blocks", "block")))
@@ -186,6 +189,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = members.withColumn("block", F.pmod(F.xxhash64("digest"), "n_blocks"))
     members = save(members.select("digest", "scope", "row_key", "n_blocks", "block"), "scope-members")
     texts = docs.select(row_key().alias("row_key"), "text").join(measured_broadcast(members), "row_key")
+    texts = texts.dropDuplicates(["row_key"])  # a class needs one text; copies are merged before they move
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

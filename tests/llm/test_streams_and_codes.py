@@ -10,7 +10,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from firstmonth.llm import filter_audit, line_dedup, vector_codes
+from firstmonth.llm import filter_audit, line_dedup, lsh_forest, vector_codes
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
@@ -280,3 +280,30 @@ def test_state_of_one_text():
     assert +state.changes == {("en", 1): 2, ("de", 17): 1}
     state.add(2, "fr", 1, 1)
     assert (state.least, +state.held, +state.changes) == (2, {("fr", 1): 1}, {("en", 17): 2, ("de", 17): 1, ("fr", 1): 1})
+
+
+# near duplicates
+
+
+def test_a_near_copied_text_repeated_in_most_rows(spark):
+    """Copies of one text, with and without id, are one class, linked once with each of its near copies."""
+    base = [f"word{i}" for i in range(120)]
+    near = [" ".join(base[:60] + [f"x{j}"] + base[61:]) for j in range(3)]
+    rows = [(None, " ".join(base))] * 2000 + [(7, " ".join(base))] * 500 + [(10 + j, t) for j, t in enumerate(near)] + [(99, "all by itself here now")]
+    found = lsh_forest.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(6)).collect()
+    assert len(found) == len(rows)
+    by_id = {r.doc_id: r for r in found}
+    assert {by_id[i].class_id for i in (None, 7, 10, 11, 12)} == {7} and by_id[99].class_id == 99
+    classes = lsh_forest.text_classes(lsh_forest.signatures(spark.createDataFrame(rows, DOCS)))
+    n_links = {r.n_links for r in lsh_forest.links(spark.createDataFrame(rows, DOCS), classes).collect()}
+    assert n_links == {3}
+
+
+def test_nodes_with_the_same_members_are_compared_once(spark, monkeypatch):
+    base = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:200] + [f"x{i}"] + base[201:])) for i in range(2)] + [(5, "nothing like the others at all")]
+    classes = lsh_forest.text_classes(lsh_forest.signatures(spark.createDataFrame(rows, DOCS)))
+    ties = lsh_forest.candidate_ties(classes)
+    assert ties.count() == 1
+    plan = ties._jdf.queryExecution().optimizedPlan().toString()
+    assert "members0" in plan
