@@ -17,7 +17,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 
 #: Distinct words and pieces whose ids a Python worker keeps, each, unless told otherwise.
-KNOWN = 300_000
+KNOWN = 600_000
 ID_TYPE = np.dtype("<u4")
 
 # Characters of which is known what a byte-level tokenizer's own split takes them for: letters, digits, space, other signs.
@@ -30,6 +30,7 @@ _WORDS = re.compile(
 )
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 64
+_TOGETHER = 1_000  # words that the library gets at once
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # neither letters nor digits, and no part of contractions
 
 
@@ -49,6 +50,8 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = KNOWN):
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word it gets is new to it
         self.limit = limit
         self.words: dict[str, bytes] = {}
         self.once: dict[str, bytes] = {}
@@ -119,8 +122,8 @@ class Encoder:
 
     def _encode_new(self, known: dict[str, bytes], new: set[str]) -> None:
         plain = [x for x in new if self.mark not in x]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
+        for at in range(0, len(plain), _TOGETHER):
+            part = plain[at : at + _TOGETHER]
             ids = _array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
