@@ -29,7 +29,11 @@ SLICE_BYTES = 2_000_000
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/llm/{spark.sparkContext.applicationId}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -128,6 +132,6 @@ class CommittedFile:
 
 
 def discard(spark: SparkSession) -> None:
-    """Remove what the operators have left in the shared folder, when their results are no longer needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/llm")
+    """Remove what the operators of this application have left in the shared folder, when their results are no longer needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
