@@ -159,10 +159,11 @@ def queries() -> dict[str, Query]:
     )
     registered["friction_points_no_rows"] = _no_friction
     registered["cohort_friction_all"] = _on_first_month(cohort_friction.cohort_friction)
-    registered["dashboard_overview_kpis"] = lambda spark, sf_dir: _dashboard(spark, sf_dir).pages["overview"]["kpis"]
-    registered["dashboard_cohort_friction"] = lambda spark, sf_dir: _dashboard(spark, sf_dir, COHORT_STAGE).pages[
-        "friction"
-    ]["points"]
+    for frame in oracles.DASHBOARD_FRAMES:
+        registered[f"dashboard_{frame}"] = lambda spark, sf_dir, frame=frame: _dashboard(spark, sf_dir).frames()[frame]
+    registered["dashboard_cohort_friction"] = lambda spark, sf_dir: _dashboard(spark, sf_dir, COHORT_STAGE).frames()[
+        "friction_points"
+    ]
     registered.update(storage_queries.queries())
     if training_data is not None:
         registered.update(training_data.queries())

@@ -29,6 +29,13 @@ def exact_parts(x: Column) -> Column:
     return F.struct(high.alias("high"), low.alias("low"), beyond.alias("beyond"), F.sum(x).alias("plain"))
 
 
+def row_parts(x: Column) -> Column:
+    """The parts of one number, as ``exact_parts`` makes them of many."""
+    high, low = _high(x), _low(x)
+    beyond = (x.isNotNull() & (high.isNull() | low.isNull())).cast("bigint")
+    return F.struct(high.alias("high"), low.alias("low"), beyond.alias("beyond"), x.alias("plain"))
+
+
 def merged_parts(parts: Column) -> Column:
     """Aggregate: the sum of structs made by ``exact_parts``."""
     return F.struct(

@@ -78,11 +78,7 @@ class DayZero:
         ]
 
     def _in_any_window(self, date_column: str) -> Column:
-        """Constant bounds that reach the scan; they skip much when Day 0 covers a cohort or a few months."""
-        if self.first_day is None or self.last_day is None:
-            return F.lit(False)
-        end = self.last_day + timedelta(days=schemas.WINDOW_DAYS + 1)
-        return (F.col(date_column) >= F.lit(self.first_day)) & (F.col(date_column) < F.lit(end))
+        return in_any_window(date_column, self.first_day, self.last_day)
 
     def restricted_to(self, employees: DataFrame) -> DayZero:
         """Day 0 of the given employees only."""
@@ -90,6 +86,14 @@ class DayZero:
         return measure(kept, self.broadcast_bytes, self.heavy_rows)
 
 
+def in_any_window(date_column: str, first_day: date | None, last_day: date | None) -> Column:
+    """Constant bounds that reach the scan; they skip much when Day 0 covers a cohort or a few months."""
+    if first_day is None or last_day is None:
+        return F.lit(False)
+    end = last_day + timedelta(days=schemas.WINDOW_DAYS + 1)
+    return (F.col(date_column) >= F.lit(first_day)) & (F.col(date_column) < F.lit(end))
+
+
 def day_zero_candidates(tables: Tables) -> DataFrame:
     """(employee_id, day) of every row of all three tables."""
     frames = [_dated(df, schemas.EVENT_DATE[name]) for name, df in tables.items()]

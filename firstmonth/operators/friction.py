@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firstmonth.functions.rounding import one_decimal, round_exact
-from firstmonth.functions.sums import exact_parts, merged_parts, parts_total
+from firstmonth.functions.sums import merged_parts, parts_total
+from firstmonth.operators.merged import ROWS, is_merged, request_rows, stage_rows
 from firstmonth.operators.tools import per_tool_and_employee
 from firstmonth.sources.tables import Tables
 
@@ -107,9 +108,10 @@ def ranking() -> list[Column]:
 
 
 def delayed_per_employee(onboarding: DataFrame) -> DataFrame:
-    delayed = onboarding.filter((F.col("stage_status") == "Delayed") & F.col("onboarding_stage").isNotNull())
-    return delayed.groupBy(F.col("onboarding_stage").alias("name"), "employee_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("duration_days").alias("days"), F.count("duration_days").alias("ended")
+    delayed = F.col("delayed") > 0 if is_merged(onboarding) else F.col("stage_status") == "Delayed"
+    rows = stage_rows(onboarding.filter(delayed & F.col("onboarding_stage").isNotNull()))
+    return rows.groupBy(F.col("onboarding_stage").alias("name"), "employee_id").agg(
+        F.sum("delayed").alias("n"), F.sum("delayed_days").alias("days"), F.sum("delayed_ended").alias("ended")
     )
 
 
@@ -140,14 +142,14 @@ def failing_tools(per_employee: DataFrame, *keys: str) -> DataFrame:
 
 
 def requests_per_employee(support_requests: DataFrame) -> DataFrame:
-    hours = F.col("resolution_time")
     return (
-        support_requests.filter(F.col("request_category").isNotNull())
+        request_rows(support_requests)
+        .filter(F.col("request_category").isNotNull())
         .groupBy(F.col("request_category").alias("name"), "employee_id")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            exact_parts(hours).alias("hours"),
-            F.count(hours).alias("timed"),
+            F.sum(ROWS).alias("n"),
+            merged_parts(F.col("hours")).alias("hours"),
+            F.sum("timed").alias("timed"),
         )
     )
 

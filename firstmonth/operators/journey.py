@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
+from firstmonth.operators.merged import ROWS, is_merged
 from firstmonth.sources.tables import Tables
 
 # The four weeks (first day, last day).
@@ -27,8 +28,8 @@ def journey_daily(tables: Tables) -> DataFrame:
     counts = list(DAILY_COLUMNS.values())
     rows = _days(tables.onboarding.sparkSession).select("days_since_joining", *[F.lit(0).alias(c) for c in counts])
     for name, df in tables.items():
-        ones = [F.lit(1 if c == DAILY_COLUMNS[name] else 0).alias(c) for c in counts]
-        rows = rows.unionByName(df.select("days_since_joining", *ones))
+        own = [(_events(df) if c == DAILY_COLUMNS[name] else F.lit(0)).alias(c) for c in counts]
+        rows = rows.unionByName(df.select("days_since_joining", *own))
     return rows.groupBy("days_since_joining").agg(*[F.sum(c).alias(c) for c in counts])
 
 
@@ -37,7 +38,7 @@ def journey_weekly_tickets(support_requests: DataFrame) -> DataFrame:
     day = F.col("days_since_joining")
     week = F.coalesce(*[F.when(day.between(*bounds), i) for i, bounds in enumerate(WEEKS, 1)])
     spine = _days(support_requests.sparkSession).select(week.alias("week"), F.lit(0).alias("tickets"))
-    tickets = support_requests.select(week.alias("week"), F.lit(1).alias("tickets"))
+    tickets = support_requests.select(week.alias("week"), _events(support_requests).alias("tickets"))
     first, last = (
         F.element_at(F.array(*[F.lit(bounds[i]) for bounds in WEEKS]), F.col("week")) for i in (0, 1)
     )
@@ -49,6 +50,11 @@ def journey_weekly_tickets(support_requests: DataFrame) -> DataFrame:
     )
 
 
+def _events(df: DataFrame) -> Column:
+    """How many events a row stands for."""
+    return F.col(ROWS) if is_merged(df) else F.lit(1)
+
+
 def _days(spark: SparkSession) -> DataFrame:
     days = spark.range(schemas.WINDOW_DAYS + 1)
     return days.select(F.col("id").cast("int").alias("days_since_joining"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firstmonth.functions.predicates import first_by
 from firstmonth.functions.rounding import round_exact, round_scaled
+from firstmonth.operators.merged import ROWS, stage_rows
 
 
 def stage_summary(onboarding: DataFrame) -> DataFrame:
@@ -63,11 +64,11 @@ def onboarding_kpis(onboarding: DataFrame) -> DataFrame:
 
 
 def _per_stage(onboarding: DataFrame) -> DataFrame:
-    status = F.col("stage_status")
-    return onboarding.groupBy("onboarding_stage").agg(
-        F.count(F.lit(1)).alias("total_assigned"),
-        F.count_if(status == "Completed").alias("completed_count"),
-        F.count_if(status == "Delayed").alias("delayed_count"),
-        F.count_if(status == "In Progress").alias("in_progress_count"),
-        F.coalesce(round_scaled(F.avg("duration_days"), 2), F.lit(0.0)).alias("avg_duration_days"),
+    mean_days = F.try_divide(F.sum("days"), F.sum("ended"))
+    return stage_rows(onboarding).groupBy("onboarding_stage").agg(
+        F.sum(ROWS).alias("total_assigned"),
+        F.sum("completed").alias("completed_count"),
+        F.sum("delayed").alias("delayed_count"),
+        F.sum("in_progress").alias("in_progress_count"),
+        F.coalesce(round_scaled(mean_days, 2), F.lit(0.0)).alias("avg_duration_days"),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstmonth.functions.predicates import differs, first_by
+from firstmonth.functions.predicates import first_by
 from firstmonth.functions.rounding import round_exact, round_scaled
-from firstmonth.functions.sums import exact_mean, exact_parts, merged_parts, parts_total
+from firstmonth.functions.sums import merged_parts, parts_total
+from firstmonth.operators.merged import ROWS, request_rows
 
 
 def support_category_summary(support_requests: DataFrame) -> DataFrame:
@@ -46,27 +47,30 @@ def support_kpis(support_requests: DataFrame) -> DataFrame:
 def support_timeline(support_requests: DataFrame) -> DataFrame:
     """Requests per day and category."""
     return (
-        support_requests.filter(F.col("request_category").isNotNull())
+        request_rows(support_requests)
+        .filter(F.col("request_category").isNotNull())
         .groupBy("days_since_joining", "request_category")
-        .agg(F.count(F.lit(1)).alias("request_count"))
+        .agg(F.sum(ROWS).alias("request_count"))
     )
 
 
 def repeated_issues(support_requests: DataFrame) -> DataFrame:
     """One row: requests beyond the first of the same employee in the same category."""
     per_issue = (
-        support_requests.filter(F.col("request_category").isNotNull())
+        request_rows(support_requests)
+        .filter(F.col("request_category").isNotNull())
         .groupBy("employee_id", "request_category")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(ROWS).alias("n"))
     )
     return per_issue.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_issues_count"))
 
 
 def _per_category(support_requests: DataFrame) -> DataFrame:
-    hours = F.col("resolution_time")
-    return support_requests.groupBy("request_category").agg(
-        F.count(F.lit(1)).alias("total_requests"),
-        F.count_if(differs(F.col("request_status"), "Resolved")).alias("unresolved_count"),
-        exact_parts(hours).alias("hours"),
-        exact_mean(hours).alias("mean_hours"),
-    ).withColumn("avg_resolution_hours", F.coalesce(round_scaled(F.col("mean_hours"), 2), F.lit(0.0)))
+    merged = request_rows(support_requests).groupBy("request_category").agg(
+        F.sum(ROWS).alias("total_requests"),
+        F.sum("unresolved").alias("unresolved_count"),
+        merged_parts(F.col("hours")).alias("hours"),
+        F.sum("timed").alias("timed"),
+    )
+    mean_hours = F.try_divide(parts_total(F.col("hours")), F.col("timed"))
+    return merged.withColumn("avg_resolution_hours", F.coalesce(round_scaled(mean_hours, 2), F.lit(0.0)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firstmonth.functions.predicates import differs, first_by
+from firstmonth.functions.predicates import first_by
 from firstmonth.functions.rounding import round_scaled
+from firstmonth.operators.merged import ROWS, tool_rows
 
 
 def per_tool_and_employee(tool_usage: DataFrame) -> DataFrame:
@@ -15,12 +16,10 @@ def per_tool_and_employee(tool_usage: DataFrame) -> DataFrame:
     The two-column key spreads evenly, and a very active employee is merged before the shuffle.
     """
     return (
-        tool_usage.filter(F.col("tool_name").isNotNull())
+        tool_rows(tool_usage)
+        .filter(F.col("tool_name").isNotNull())
         .groupBy("tool_name", "employee_id")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.count_if(differs(F.col("usage_status"), "Success")).alias("failed"),
-        )
+        .agg(F.sum(ROWS).alias("events"), F.sum("failed").alias("failed"))
     )
 
 
@@ -52,9 +51,8 @@ def tool_kpis(tool_usage: DataFrame) -> DataFrame:
 def tool_leaders(tool_usage: DataFrame) -> DataFrame:
     """One row: all events, and the leading tools, null where there are none."""
     tool, events, failed = F.col("tool_name"), F.col("events"), F.col("failed")
-    per_tool = tool_usage.groupBy("tool_name").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(differs(F.col("usage_status"), "Success")).alias("failed"),
+    per_tool = (
+        tool_rows(tool_usage).groupBy("tool_name").agg(F.sum(ROWS).alias("events"), F.sum("failed").alias("failed"))
     )
     # The least used tool is the last of the descending list: the lowest count, then the highest name.
     least_used = F.max_by(tool, F.when(tool.isNotNull(), F.struct(-events, tool)))

@@ -6,32 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from firstmonth import schemas
 from firstmonth.operators import friction, journey, onboarding, overview, quality, support, tools
-from firstmonth.plans.first_month import FirstMonth, prepare
+from firstmonth.operators.cohort import stage_cohort
+from firstmonth.operators.merged import merge
+from firstmonth.plans.first_month import prepare
 from firstmonth.sources import saved
 from firstmonth.sources.tables import Tables
 
-# Columns the reports read.
-REPORT_COLUMNS = {
-    schemas.ONBOARDING: [
-        "employee_id",
-        "onboarding_stage",
-        "stage_status",
-        "days_since_joining",
-        "duration_days",
-    ],
-    schemas.TOOL_USAGE: ["employee_id", "tool_name", "usage_status", "days_since_joining"],
-    schemas.SUPPORT_REQUESTS: [
-        "employee_id",
-        "request_category",
-        "request_status",
-        "resolution_time",
-        "days_since_joining",
-    ],
-}
-
-
 @dataclass(frozen=True)
 class Dashboard:
     """The audit, the stages to choose a cohort from, and the frames of each page."""
@@ -41,33 +22,42 @@ class Dashboard:
     stage_list: DataFrame
     pages: dict[str, dict[str, DataFrame]]
 
+    def frames(self) -> dict[str, DataFrame]:
+        """All frames by name; those of a page begin with the page's."""
+        audits = {"audit": self.audit, "audit_warnings": self.audit_warnings, "stage_list": self.stage_list}
+        return audits | {f"{page}_{name}": df for page, frames in self.pages.items() for name, df in frames.items()}
+
 
 def build_dashboard(raw: Tables, stage: str | None = None, ignore_keys: bool = False) -> Dashboard | None:
     """All frames for all employees or for the cohort of one stage; None when there are no rows at all.
 
-    The cleaned tables are written once, cut to the columns the reports read, so that a dozen reports
-    do not each repeat the window join and the deduplication. The audit counts are kept for the same reason.
+    Each cleaned table is computed once, merged to one row a group, employee and day, and written; every frame derives from
+    these rows, those of a cohort too. The audit counts are kept for the same reason.
     """
     if not raw.has_rows():
         return None
-    everyone = prepare(raw, ignore_keys)
+    everyone = save_merged(prepare(raw, ignore_keys).tables)
     audit_counts = quality.audit_by_table(raw, ignore_keys).checkpoint()
-    chosen = save_for_reports(everyone.cohort(stage) if stage else everyone)
     return Dashboard(
         audit=quality.audit_totals(audit_counts),
         audit_warnings=quality.warning_lines(audit_counts),
-        stage_list=onboarding.stage_list((everyone.tables if stage else chosen).onboarding),
-        pages=build_pages(chosen),
+        stage_list=onboarding.stage_list(everyone.onboarding),
+        pages=build_pages(merged_cohort(everyone, stage) if stage else everyone),
     )
 
 
-def save_for_reports(first_month: FirstMonth) -> Tables:
-    """The cleaned tables as Parquet in the shared folder, narrowed to the report columns."""
-    stored = []
-    for name, df in first_month.tables.items():
-        rows, _ = saved.save(df.select(*REPORT_COLUMNS[name]), f"first-month-{name}")
-        stored.append(rows)
-    return Tables(*stored)
+def save_merged(cleaned: Tables) -> Tables:
+    """The cleaned tables, merged, as Parquet in the shared folder."""
+    return Tables(*(saved.save(df, f"merged-{name}")[0] for name, df in merge(cleaned).items()))
+
+
+def merged_cohort(everyone: Tables, stage: str) -> Tables:
+    """The merged rows of the employees seen at ``stage``, whose list is sent to the rows if its measured size allows."""
+    employees, size = saved.save(
+        stage_cohort(everyone.onboarding, stage), "cohort", held=saved.held_bytes("employee_id")
+    )
+    cohort = saved.small(employees, size["held"])
+    return Tables(*(df.join(cohort, "employee_id", "left_semi") for _, df in everyone.items()))
 
 
 def build_pages(tables: Tables) -> dict[str, dict[str, DataFrame]]:

@@ -5,6 +5,30 @@ Written on its own, not generated from the Spark code: joins where Spark merges,
 
 from __future__ import annotations
 
+# Frame of the dashboard (page, name): the query whose rows it has.
+DASHBOARD_FRAMES = {
+    "audit": "audit",
+    "audit_warnings": "audit_warnings",
+    "stage_list": "stage_list",
+    "overview_kpis": "overview_kpis",
+    "overview_primary_bottleneck": "primary_bottleneck",
+    "onboarding_kpis": "onboarding_kpis",
+    "onboarding_stage_summary": "stage_summary",
+    "onboarding_stage_status": "stage_status_long",
+    "tools_kpis": "tool_kpis",
+    "tools_tool_summary": "tool_summary",
+    "tools_support_overlap": "tool_support_overlap",
+    "support_kpis": "support_kpis",
+    "support_category_summary": "support_category_summary",
+    "support_timeline": "support_timeline",
+    "support_repeated_issues": "repeated_issues",
+    "friction_points": "friction_points",
+    "friction_evidence": "friction_evidence",
+    "friction_ranked": "friction_ranked",
+    "journey_daily": "journey_daily",
+    "journey_weekly_tickets": "journey_weekly_tickets",
+}
+
 # ---------------------------------------------------------------- tables derived from events
 
 _EMPLOYEE = "case when event_id % 101 = 0 then null else concat('EMP-', cast(user_id as varchar(20))) end as employee_id"
@@ -354,6 +378,8 @@ qualify row_number() over (
   partition by employee_id, tool_name, usage_date, usage_activity, usage_status order by batch, usage_id) = 1"""
     sql["day_zero_incremental"] = f"{CLEANED} select employee_id, joining_date from day_zero"
     sql["clean_tool_usage_kept_day_zero"] = f"{CLEANED} select * from tool"
+    for name, cleaned in (("onboarding", "onb"), ("tool_usage", "tool"), ("support_requests", "sup")):
+        sql[f"clean_{name}_bucketed"] = f"{CLEANED} select * from {cleaned}"
     sql["csv_import_onboarding_other_dates"] = f"{UPLOADS} select * from onboarding"
     sql["upload_refusals"] = f"{UPLOADS}\n" + " union all ".join(
         [
@@ -494,7 +520,8 @@ select k.total_employees as total_hires, k.overall_completion_rate as completion
        case when (select count(*) from tool) > 0 then t.most_problematic_tool else 'N/A' end as most_problematic_tool
 from ({_ONBOARDING_KPIS}) k cross join ({_SUPPORT_KPIS}) s cross join ({_TOOL_KPIS}) t"""
     sql["overview_kpis"] = CLEANED + overview
-    sql["dashboard_overview_kpis"] = sql["overview_kpis"]
+    for frame, report in DASHBOARD_FRAMES.items():
+        sql[f"dashboard_{frame}"] = sql[report]
     sql["dashboard_cohort_friction"] = sql["cohort_friction"]
     for table in tables:
         cleaned = _uploads(without=table) + _CLEAN

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firstmonth import schemas
-from firstmonth.operators import kept_day_zero
+from firstmonth.operators import by_employee, kept_day_zero
 from firstmonth.plans.first_month import prepare
 from firstmonth.sources import enforced, fingerprints, saved, sinks
 from firstmonth.sources.event_mapping import map_events, read_events
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
     registered: dict[str, Query] = {}
     for name in schemas.TABLE_NAMES:
         registered[f"append_enforced_{name}"] = lambda spark, sf_dir, name=name: append_enforced(spark, sf_dir, name)
+        registered[f"clean_{name}_bucketed"] = lambda spark, sf_dir, name=name: getattr(_by_employee(spark, sf_dir), name)
     registered["append_dedup_tool_usage"] = append_dedup_tool_usage
     registered["day_zero_incremental"] = day_zero_incremental
     registered["clean_tool_usage_kept_day_zero"] = clean_tool_usage_kept_day_zero
@@ -65,6 +66,13 @@ def append_enforced(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [stored, *refused]).withColumn("broken_rules", F.array_join("broken_rules", ","))
 
 
+def _by_employee(spark: SparkSession, sf_dir: str) -> Tables:
+    """The first month of a layout by employee."""
+    database = new_database(spark)
+    by_employee.store(map_events(read_events(spark, sf_dir)), database)
+    return by_employee.first_month(spark, database)
+
+
 def append_dedup_tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the tool rows with some copies under other keys, then all of them again: each is stored once."""
     database = new_database(spark)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from helpers import by, day, moment, only, tables
 
-from firstmonth.operators import friction, journey, onboarding, overview, support, tools
+from firstmonth.operators import friction, journey, merged, onboarding, overview, support, tools
 from firstmonth.plans.dashboard import build_dashboard
 from firstmonth.plans.first_month import prepare
 from firstmonth.sources.event_mapping import map_events, read_events
@@ -214,6 +214,36 @@ def test_empty_tables(spark):
     assert build_dashboard(tables(spark)) is None
 
 
+def single_reports(t):
+    points = friction.friction_points(t)
+    stages = onboarding.stage_summary(t.onboarding)
+    return {
+        "stage_list": onboarding.stage_list(t.onboarding),
+        "overview_kpis": overview.overview_kpis(t),
+        "overview_primary_bottleneck": friction.primary_bottleneck(points),
+        "onboarding_kpis": onboarding.onboarding_kpis(t.onboarding),
+        "onboarding_stage_summary": stages,
+        "onboarding_stage_status": onboarding.stage_status_long(stages),
+        "tools_kpis": tools.tool_kpis(t.tool_usage),
+        "tools_tool_summary": tools.tool_summary(t.tool_usage),
+        "tools_support_overlap": tools.tool_support_overlap(t.tool_usage, t.support_requests),
+        "support_kpis": support.support_kpis(t.support_requests),
+        "support_category_summary": support.support_category_summary(t.support_requests),
+        "support_timeline": support.support_timeline(t.support_requests),
+        "support_repeated_issues": support.repeated_issues(t.support_requests),
+        "friction_points": points,
+        "friction_evidence": friction.friction_evidence(points),
+        "friction_ranked": friction.friction_ranked(points),
+        "journey_daily": journey.journey_daily(t),
+        "journey_weekly_tickets": journey.journey_weekly_tickets(t.support_requests),
+    }
+
+
+def same_rows(frame, single):
+    assert frame.dtypes == single.dtypes
+    assert sorted(map(str, frame.collect())) == sorted(map(str, single.collect()))
+
+
 @pytest.mark.parametrize("stage", [None, "Stage-3"])
 def test_dashboard_equals_the_single_reports(spark, stage):
     raw = map_events(read_events(spark, "/root/testdata/sf0.001"))
@@ -221,17 +251,41 @@ def test_dashboard_equals_the_single_reports(spark, stage):
     assert only(board.audit)["duplicate_records"] > 0
     assert board.stage_list.count() == 6
     first_month = prepare(raw)
-    t = (first_month.cohort(stage) if stage else first_month).tables
-    pages = board.pages
-    for saved, single in [
-        (pages["friction"]["ranked"], friction.friction_ranked(friction.friction_points(t))),
-        (pages["overview"]["kpis"], overview.overview_kpis(t)),
-        (pages["tools"]["support_overlap"], tools.tool_support_overlap(t.tool_usage, t.support_requests)),
-        (pages["support"]["timeline"], support.support_timeline(t.support_requests)),
-        (pages["journey"]["daily"], journey.journey_daily(t)),
-        (pages["onboarding"]["stage_status"], onboarding.stage_status_long(onboarding.stage_summary(t.onboarding))),
-    ]:
-        assert sorted(map(str, saved.collect())) == sorted(map(str, single.collect()))
-    for frames in pages.values():
-        for df in frames.values():
-            df.collect()
+    singles = single_reports((first_month.cohort(stage) if stage else first_month).tables)
+    singles["stage_list"] = onboarding.stage_list(first_month.tables.onboarding)
+    frames = board.frames()
+    assert set(frames) == set(singles) | {"audit", "audit_warnings"}
+    for name, single in singles.items():
+        same_rows(frames[name], single)
+
+
+def test_merged_rows_report_like_the_rows_themselves(spark):
+    """Missing groups, statuses and dates, repeats on one day, hours no decimal holds, negative durations."""
+    nan, inf = float("nan"), float("inf")
+    onb = [
+        (e, s, status, day(n), end)
+        for e in ("a", "b")
+        for s in ("S", "T", None)
+        for n, status, end in [
+            (0, "Delayed", None), (0, "Delayed", day(9)), (3, "Completed", day(1)), (3, None, day(4)), (30, "In Progress", None)
+        ]
+    ]
+    tool = [
+        (e, t, moment(n, hour), status)
+        for e in ("a", "c")
+        for t in ("X", "Y", None)
+        for n, hour, status in [(0, 1, "Success"), (0, 2, "Failed"), (0, 2, "Failed"), (7, 0, None), (8, 0, "Timeout"), (31, 0, "Failed")]
+    ]
+    hours = [0.1, 0.2, 0.3, None, nan, -4.0, 1e22, 7.5]
+    sup = [(f"r{e}{c}{i}", e, c, moment(i % 3, i), "Resolved" if i % 2 else None, h) for e in "ab" for c in ("K", None) for i, h in enumerate(hours)]
+    sup += [("i1", "a", "L", moment(1), "Open", inf), ("i2", "b", "L", moment(2), "Resolved", 2.0)]
+    t = prepare(tables(spark, onb, tool, sup)).tables
+    m = merged.merge(t)
+    assert all(a.count() < b.count() for (_, a), (_, b) in zip(m.items(), t.items()))
+    frames = single_reports(m)
+    for name, single in single_reports(t).items():
+        same_rows(frames[name], single)
+    empty = prepare(tables(spark)).tables
+    frames = single_reports(merged.merge(empty))
+    for name, single in single_reports(empty).items():
+        same_rows(frames[name], single)
