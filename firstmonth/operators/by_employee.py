@@ -3,8 +3,9 @@
 A layout is a database of its own, written once: rows in as many buckets as Day 0, one file a bucket. The window join and
 the deduplication then both run inside a bucket. A bucket is read by one task, so rows that would make one uneven
 lie beside it in a plain table, in the files they came in ("spread"): those of employees with very many rows, whose list is bounded
-like that of ``DayZero.attach``, and those without an employee or a date, which belong to no first month. Later rows
-go into a new layout; readers of the old one are not disturbed.
+like that of ``DayZero.attach``, and those without an employee or a date, which belong to no first month. The task of a bucket sorts
+its rows and holds its distinct ones, about 320 bytes a row as measured, so a bucket has few rows and no employee has more than a
+part of them. Later rows go into a new layout; readers of the old one are not disturbed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from firstmonth import schemas
 from firstmonth.operators.cleaning import distinct_month, normalised
 from firstmonth.operators.day_zero import (
     BROADCAST_BYTES,
-    HEAVY_ROWS,
     day_zero_candidates,
     earliest_days,
     in_any_window,
@@ -25,7 +25,8 @@ from firstmonth.operators.day_zero import (
 from firstmonth.sources import saved, sinks
 from firstmonth.sources.tables import Tables, conform
 
-ROWS_PER_BUCKET = 10_000_000
+ROWS_PER_BUCKET = 1_000_000
+HEAVY_ROWS = ROWS_PER_BUCKET // 10  # of one employee, beyond which its rows lie beside the buckets
 MAX_BUCKETS = 50_000  # Spark refuses more than 100,000
 DAYS = "day_zero"
 

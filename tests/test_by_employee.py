@@ -6,6 +6,7 @@ import re
 
 import pytest
 from helpers import day, moment, skewed, tables
+from pyspark.sql import functions as F
 
 import storage_queries
 from firstmonth import schemas
@@ -61,6 +62,27 @@ def test_missing_values_and_empty_tables(spark):
     same(by_employee.first_month(spark, empty), prepare(nothing).tables)
 
 
+def test_a_task_gets_a_bounded_number_of_rows(spark):
+    wide, hot = spark.range(2_100_000), spark.range(150_000)
+    rows = wide.selectExpr("id % 30011 as e", "id").union(hot.selectExpr("-1 as e", "id")).selectExpr(
+        "concat('EMP-', e) as employee_id", "concat('T', id % 3) as tool_name", "timestamp_ntz'2026-01-05' + make_dt_interval(cast(id % 40 as int)) as usage_date",
+        "'Use' as usage_activity", "'Failed' as usage_status")
+    nothing = tables(spark)
+    raw = type(nothing)(nothing.onboarding, rows, nothing.support_requests)
+    database = storage_queries.new_database(spark)
+    assert by_employee.store(raw, database) == 3
+    bucketed = spark.table(f"{database}.{schemas.TOOL_USAGE}_buckets").groupBy(F.input_file_name().alias("file")).count()
+    sizes = [row["count"] for row in bucketed.collect()]
+    assert sum(sizes) == 2_100_000 and max(sizes) < 1_000_000
+    beside = spark.table(f"{database}.{schemas.TOOL_USAGE}_spread")
+    assert [tuple(row) for row in beside.groupBy("employee_id").count().collect()] == [("EMP--1", 150_000)]
+
+    def digest(df):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+
+    assert digest(by_employee.first_month(spark, database).tool_usage) == digest(prepare(raw).tables.tool_usage)
+
+
 def test_a_layout_is_not_written_over(spark):
     database = storage_queries.new_database(spark)
     by_employee.store(tables(spark), database)
