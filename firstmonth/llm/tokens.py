@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -49,18 +50,17 @@ class Encoder:
     """
 
     def __init__(self, path: str, limit: int = KNOWN):
-        self.tokenizer = Tokenizer.from_file(path)
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # every word it gets is new to it
+        self.tokenizer = _uncached(Tokenizer.from_file(path))
         self.limit = limit
-        self.words: dict[str, bytes] = {}
         self.once: dict[str, bytes] = {}
+        self.words = _Words(self.once)
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes | None] = {}
         self.loose: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.long: list[tuple[dict, str]] = []
         self.mark = self._mark()
+        self.bare = self._bare() if self.mark is not None else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mark is None:
@@ -71,17 +71,18 @@ class Encoder:
         return [next(words) if known else next(others) for known in plain]
 
     def _encode_words(self, texts: list[str]) -> list[bytes]:
-        found = [_WORDS.findall(text) for text in texts]
-        new = set().union(*found).difference(self.words)
-        again = new.intersection(self.once)
-        for x in again:
-            self.words[x] = self.once.pop(x)
+        get, holes = self.words.__getitem__, self.words.holes
         fresh: dict[str, bytes] = {}
-        self._encode_new(fresh, new - again)
-        self.words.update(fresh)
-        encoded = [b"".join(map(self.words.__getitem__, words)) for words in found]
-        for x in fresh:
-            del self.words[x]
+        try:
+            found = [list(map(get, _WORDS.findall(text))) for text in texts]
+            self._encode_new(fresh, holes, self.bare)
+            for x, ids in fresh.items():
+                holes[x] += ids
+            encoded = [b"".join(ids) for ids in found]
+        finally:  # no place may stay empty
+            for x in holes:
+                del self.words[x]
+            holes.clear()
         self.once.update((x, ids) for x, ids in fresh.items() if len(x) <= _LONG)
         self._forget()
         return encoded
@@ -120,11 +121,12 @@ class Encoder:
                 if not x or x[0].isspace() or x[-1].isspace():
                     known[x] = None
 
-    def _encode_new(self, known: dict[str, bytes], new: set[str]) -> None:
+    def _encode_new(self, known: dict[str, bytes], new: Iterable[str], tokenizer: Tokenizer | None = None) -> None:
+        tokenizer = tokenizer or self.tokenizer
         plain = [x for x in new if self.mark not in x]
         for at in range(0, len(plain), _TOGETHER):
             part = plain[at : at + _TOGETHER]
-            ids = _array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
+            ids = _array(tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
             size = ID_TYPE.itemsize
@@ -155,6 +157,35 @@ class Encoder:
         self.mark_id = added[0]["id"]
         return added[0]["content"]
 
+    def _bare(self) -> Tokenizer:
+        """The same tokenizer for single words: it doesn't look for words in them once more."""
+        made = json.loads(self.tokenizer.to_str())
+        made["pre_tokenizer"]["use_regex"] = False
+        return _uncached(Tokenizer.from_str(json.dumps(made)))
+
+
+class _Words(dict):
+    """Ids of words, each looked up once an occurrence. A word seen ``once`` before is kept; a new one gets an empty
+    place, to be filled before the ids are joined."""
+
+    def __init__(self, once: dict[str, bytes]):
+        super().__init__()
+        self.once = once
+        self.holes: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.once.pop(word, None)
+        if ids is None:
+            ids = self.holes[word] = bytearray()
+        self[word] = ids
+        return ids
+
+
+def _uncached(tokenizer: Tokenizer) -> Tokenizer:
+    if hasattr(tokenizer.model, "_resize_cache"):
+        tokenizer.model._resize_cache(0)  # every word it gets is new to it
+    return tokenizer
+
 
 def _parts(piece: str) -> list[str]:
     """``piece``, which may start with a space, cut where it is plain to see that no token goes across."""

@@ -191,6 +191,29 @@ def test_texts_of_any_kind_of_character_equal_the_library(library):
         assert len(encoder.words) <= limit and len(encoder.once) <= limit
 
 
+def test_remembered_words_are_looked_up_and_never_walked(library):
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("as many steps as words are remembered")
+
+    encoder = Encoder(tokenizer_path())
+    encoder.once = Remembered(encoder.once)
+    if hasattr(encoder.words, "once"):
+        encoder.words.once = encoder.once
+    texts = ["abc xyzzy12", "abc plugh", "qwertz, it's xyzzy12", "abc qwertz"]
+    found = [encoder.encode([x])[0] for x in texts]
+    assert [list(np.frombuffer(x, "<u4")) for x in found] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert "abc" in encoder.words and "plugh" not in encoder.words and " plugh" in encoder.once
+
+
+def test_a_failed_batch_leaves_no_words_without_ids(library, monkeypatch):
+    encoder = Encoder(tokenizer_path())
+    with monkeypatch.context() as broken, pytest.raises(MemoryError):
+        broken.setattr(encoder, "_encode_new", lambda *_: (_ for _ in ()).throw(MemoryError()))
+        encoder.encode(["some words"])
+    assert list(np.frombuffer(encoder.encode(["some words"])[0], "<u4")) == library.encode("some words", add_special_tokens=False).ids
+
+
 def test_packing_odd_rows(odd, nothing):
     placed = packing.pack_documents(odd, capacity=16, with_ids=True)
     rows = placed.collect()
