@@ -2,8 +2,8 @@
 
 Writing: documents are dealt out by ranges of ``doc_id``, encoded in that order and gathered into blocks of whole
 documents. Global id counts (at most one row for each id) give the code lengths, by package-merge. Each block is then
-coded on its own. Reading: every block is decoded apart from the others with one table lookup an id; checkpoints hold
-the bit offset of every ``STRIDE``-th id, so that all stretches of a block are decoded side by side.
+coded on its own. Reading: every block can be decoded apart from the others with one table lookup an id; checkpoints hold
+the bit offset of every ``STRIDE``-th id, so that all stretches of a block, and of a few blocks, are decoded side by side.
 
 A file holds, one after another, blocks of:
 
@@ -42,8 +42,13 @@ MAX_BITS = 20
 BLOCK_IDS = 65_536
 STRIDE = 128
 MAGIC = b"HUFB"
+#: Bytes of blocks that are decoded side by side, if no single block is longer.
+TOGETHER_BYTES = 1_000_000
+#: Low bits of an entry of the decoding table, for the length of its code.
+_SIZE_BITS = 5
 
-BLOCKS = "shard int, block long, known binary, doc_ids binary, lengths binary, n_ids long, ids binary"
+BLOCKS = """shard int, block long, known binary, doc_ids binary, lengths binary, n_ids long, ids binary,
+    seen array<struct<id: long, n: long>>"""
 MANIFEST = """path string, shard int, first_block long, n_ids long, offsets array<long>, sizes array<long>,
     starts array<long>"""
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -100,20 +105,20 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Id and length for every value of the next ``bits`` bits."""
+def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """For every value of the next ``bits`` bits the id and, in the low bits, the length of its code."""
     bits = int(lengths.max(initial=1)) or 1
-    ids = np.zeros(1 << bits, dtype=ID_TYPE)
-    sizes = np.ones(1 << bits, dtype=np.int64)
+    kind = np.uint32 if len(lengths) <= 1 << 32 - _SIZE_BITS else np.int64
+    entries = np.ones(1 << bits, dtype=kind)
     codes = canonical_codes(lengths)
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     widths = (1 << (bits - lengths[order].astype(np.int64))).astype(np.int64)
     if len(order):
         first = int(codes[order[0]]) << (bits - int(lengths[order[0]]))
-        ids[first : first + int(widths.sum())] = np.repeat(order.astype(ID_TYPE), widths)
-        sizes[first : first + int(widths.sum())] = np.repeat(lengths[order].astype(np.int64), widths)
-    return ids, sizes, bits
+        entry = order.astype(kind) << kind(_SIZE_BITS) | lengths[order].astype(kind)
+        entries[first : first + int(widths.sum())] = np.repeat(entry, widths)
+    return entries, bits
 
 
 def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,24 +139,40 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple
 
 
 def decode_ids(n: int, checkpoints: np.ndarray, words: np.ndarray, table: tuple) -> np.ndarray:
-    """The ids of a block: each step takes one id from every stretch."""
-    ids, sizes, bits = table
-    out = np.zeros((STRIDE, len(checkpoints)), dtype=ID_TYPE)
-    at = checkpoints.astype(np.int64)
-    wide = np.concatenate([words.astype(np.uint64), np.zeros(2, dtype=np.uint64)])
-    wide = wide[:-1] << np.uint64(32) | wide[1:]
-    last = len(wide) - 1
-    mask = np.uint64((1 << bits) - 1)
-    for step in range(min(STRIDE, n)):
-        window = wide[np.minimum(at >> 5, last)]
-        value = window >> (64 - bits - (at & 31)).astype(np.uint64) & mask
-        out[step] = ids[value]
-        at += sizes[value]
-    return out.T.reshape(-1)[:n]
+    """The ids of a block."""
+    return decode_blocks([(n, checkpoints, words)], table)[0]
+
+
+def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]], table: tuple) -> list[np.ndarray]:
+    """The ids of each block (``n``, checkpoints, words): a step takes one id from every stretch of all of them."""
+    entries, bits = table
+    first_word = np.cumsum([0, *[len(words) for _, _, words in blocks]])
+    lanes = np.cumsum([0, *[len(checkpoints) for _, checkpoints, _ in blocks]])
+    at = np.concatenate([x.astype(np.int64) + 32 * w for (_, x, _), w in zip(blocks, first_word.tolist())])
+    wide = np.concatenate([*[words.astype(np.uint64) for _, _, words in blocks], np.zeros(2, dtype=np.uint64)])
+    wide = (wide[:-1] << np.uint64(32) | wide[1:]).view(np.int64)  # the bits of the sign are masked out
+    mask, size_mask = np.int64((1 << bits) - 1), entries.dtype.type((1 << _SIZE_BITS) - 1)
+    out = np.zeros((STRIDE, len(at)), dtype=entries.dtype)
+    word, value = np.empty_like(at), np.empty_like(at)
+    for step in range(min(STRIDE, max(n for n, _, _ in blocks))):
+        np.right_shift(at, 5, out=word)
+        wide.take(word, out=value, mode="clip")  # stretches that have ended run on, up to the last word
+        np.bitwise_and(at, 31, out=word)
+        np.subtract(64 - bits, word, out=word)
+        np.right_shift(value, word, out=value)
+        np.bitwise_and(value, mask, out=value)
+        entries.take(value, out=out[step], mode="clip")
+        at += out[step] & size_mask
+    out >>= entries.dtype.type(_SIZE_BITS)
+    parts = zip(blocks, lanes[:-1].tolist(), lanes[1:].tolist())
+    return [out[:, start:end].T.reshape(-1)[:n].astype(ID_TYPE, copy=False) for (n, _, _), start, end in parts]
 
 
 def id_blocks(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Saved rows of one block each, numbered within shards that hold ascending ranges of ``doc_id``."""
+    """Saved rows of one block each, numbered within shards that hold ascending ranges of ``doc_id``.
+
+    One more row for each shard, without a block, tells in ``seen`` how often each id occurs in the shard.
+    """
     path = path or tokenizer_path()
     end = np.array([END_ID], dtype=ID_TYPE).tobytes()
     spark = docs.sparkSession
@@ -160,6 +181,7 @@ def id_blocks(docs: DataFrame, path: str | None = None) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         shard, block, doc_ids, encoded, n = 0, 0, [], [], 0
+        seen = _Seen()
         for batch in sliced(batches):
             shard = batch.column(0)[0].as_py()
             texts = [x or "" for x in batch.column(2).to_pylist()]
@@ -168,36 +190,75 @@ def id_blocks(docs: DataFrame, path: str | None = None) -> DataFrame:
                 encoded.append(ids + end)
                 n += len(ids) // ID_TYPE.itemsize + 1
                 if n >= BLOCK_IDS:
-                    yield _block_row(shard, block, doc_ids, encoded)
+                    yield _block_row(shard, block, doc_ids, encoded, seen)
                     block, doc_ids, encoded, n = block + 1, [], [], 0
         if doc_ids:
-            yield _block_row(shard, block, doc_ids, encoded)
+            yield _block_row(shard, block, doc_ids, encoded, seen)
+        if len(seen.counts):
+            yield seen.row(shard)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id")
     ordered = ordered.sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     return save(ordered.mapInArrow(gather, BLOCKS), "id-blocks")
 
 
-def _block_row(shard: int, block: int, doc_ids: list, encoded: list[bytes]) -> pa.RecordBatch:
+class _Seen:
+    """How often each id has come so far."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros(0, dtype=np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        n = np.bincount(ids)
+        if len(n) > len(self.counts):
+            n, self.counts = self.counts, n
+        self.counts[: len(n)] += n
+
+    def row(self, shard: int) -> pa.RecordBatch:
+        ids = np.flatnonzero(self.counts)
+        pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(self.counts[ids])], ["id", "n"])
+        return _blocks_batch({"shard": shard}, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pairs))
+
+
+_BLOCK_TYPES = {
+    "shard": pa.int32(),
+    "block": pa.int64(),
+    "known": pa.binary(),
+    "doc_ids": pa.binary(),
+    "lengths": pa.binary(),
+    "n_ids": pa.int64(),
+    "ids": pa.binary(),
+}
+_SEEN_TYPE = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
+
+
+def _blocks_batch(row: dict, seen: pa.Array | None = None) -> pa.RecordBatch:
+    columns = {name: pa.array([row.get(name)], kind) for name, kind in _BLOCK_TYPES.items()}
+    return pa.RecordBatch.from_pydict(columns | {"seen": pa.nulls(1, _SEEN_TYPE) if seen is None else seen})
+
+
+def _block_row(shard: int, block: int, doc_ids: list, encoded: list[bytes], seen: _Seen) -> pa.RecordBatch:
     lengths = np.array([len(x) // ID_TYPE.itemsize for x in encoded], dtype="<u4")
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     numbers = np.array([x or 0 for x in doc_ids], dtype="<i8")
-    row = {
-        "shard": pa.array([shard], pa.int32()),
-        "block": pa.array([block], pa.int64()),
-        "known": pa.array([known.tobytes()]),
-        "doc_ids": pa.array([numbers.tobytes()]),
-        "lengths": pa.array([lengths.tobytes()]),
-        "n_ids": pa.array([int(lengths.sum())], pa.int64()),
-        "ids": pa.array([_narrow(b"".join(encoded))]),
-    }
-    return pa.RecordBatch.from_pydict(row)
-
-
-def _narrow(ids: bytes) -> bytes:
+    ids = np.frombuffer(b"".join(encoded), dtype=ID_TYPE)
+    seen.add(ids)
+    return _blocks_batch(
+        {
+            "shard": shard,
+            "block": block,
+            "known": known.tobytes(),
+            "doc_ids": numbers.tobytes(),
+            "lengths": lengths.tobytes(),
+            "n_ids": len(ids),
+            "ids": _narrow(ids),
+        }
+    )
+
+
+def _narrow(ids: np.ndarray) -> bytes:
     """Two bytes an id where that is enough; the first byte tells."""
-    wide = np.frombuffer(ids, dtype=ID_TYPE)
-    return b"\2" + wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else b"\4" + ids
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\4" + ids.tobytes()
 
 
 def _widen(stored: bytes) -> np.ndarray:
@@ -206,19 +267,8 @@ def _widen(stored: bytes) -> np.ndarray:
 
 def id_counts(blocks: DataFrame) -> DataFrame:
     """``id``, ``n``: how often each id occurs in all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for stored in batch.column(0):
-                n = np.bincount(_widen(stored.as_py()))
-                if len(n) > len(total):
-                    n, total = total, n
-                total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
-
-    return blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = blocks.where("seen is not null").select(F.inline("seen"))
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_archive(docs: DataFrame, folder: str | None = None, path: str | None = None) -> Archive:
@@ -258,6 +308,7 @@ def write_archive(docs: DataFrame, folder: str | None = None, path: str | None =
         if out is not None:
             yield _close(out, row)
 
+    blocks = blocks.where("block is not null").drop("seen")
     return Archive(book.path, save(blocks.mapInArrow(code, MANIFEST), "huffman-manifest"))
 
 
@@ -277,8 +328,8 @@ def _coded(block: dict, lengths: np.ndarray, codes: np.ndarray) -> bytes:
     )
 
 
-def read_block(data: bytes, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Known flags, ids and lengths of the documents of a block, and all their token ids."""
+def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, np.ndarray, np.ndarray]]:
+    """Known flags, ids and lengths of the documents of a block, and its token ids as ``decode_blocks`` takes them."""
     if data[:4] != MAGIC:
         raise ValueError("not a block")
     n_docs, n_ids, n_words = struct.unpack_from("<III", data, 4)
@@ -287,7 +338,7 @@ def read_block(data: bytes, table: tuple) -> tuple[np.ndarray, np.ndarray, np.nd
         parts.append(np.frombuffer(data, dtype=kind, count=n, offset=at))
         at += parts[-1].nbytes
     known, doc_ids, lengths, checkpoints, words = parts
-    return known, doc_ids, lengths, decode_ids(n_ids, checkpoints, words, table)
+    return known, doc_ids, lengths, (n_ids, checkpoints, words)
 
 
 def block_places(archive: Archive) -> DataFrame:
@@ -312,29 +363,48 @@ def read_archive(spark: SparkSession, archive: Archive, with_ids: bool = False)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if codebook not in tables:
+                system, name = filesystem(codebook)
+                with system.open_input_stream(name, compression=None) as f:
+                    tables[codebook] = decoding_table(np.frombuffer(f.read(), dtype=np.uint8))
+            blocks, starts, held = [], [], 0
             for path, offset, size, start in zip(*[c.to_pylist() for c in batch.columns]):
-                if codebook not in tables:
-                    system, name = filesystem(codebook)
-                    with system.open_input_stream(name, compression=None) as f:
-                        tables[codebook] = decoding_table(np.frombuffer(f.read(), dtype=np.uint8))
+                if blocks and held + size > TOGETHER_BYTES:
+                    yield _decoded(blocks, starts, tables[codebook], with_ids)
+                    blocks, starts, held = [], [], 0
                 system, name = filesystem(path)
                 with system.open_input_file(name) as f:
-                    data = f.read_at(size, offset)
-                known, doc_ids, lengths, ids = read_block(data, tables[codebook])
-                ends = np.cumsum(lengths.astype(np.int64))
-                raw, width = ids.tobytes(), ID_TYPE.itemsize
-                each = [raw[(e - n) * width : e * width] for e, n in zip(ends.tolist(), lengths.tolist())]
-                columns = [
-                    pa.array(doc_ids, pa.int64(), mask=known == 0),
-                    pa.array(start + ends - lengths),
-                    pa.array(lengths.astype(np.int64)),
-                    pa.array([zlib.crc32(x) for x in each], pa.int64()),
-                ]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns, names = [*columns, pa.array(each, pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    blocks.append(read_block(f.read_at(size, offset)))
+                starts.append(start)
+                held += size
+            if blocks:
+                yield _decoded(blocks, starts, tables[codebook], with_ids)
 
     places = block_places(archive)
     places = places.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "offset")
     return places.mapInArrow(decode, f"{DOCUMENTS}, ids binary" if with_ids else DOCUMENTS)
+
+
+def _decoded(blocks: list[tuple], starts: list[int], table: tuple, with_ids: bool) -> pa.RecordBatch:
+    """A row for each document of the blocks."""
+    decoded = decode_blocks([block[3] for block in blocks], table)
+    first, crcs, each, width = [], [], [], ID_TYPE.itemsize
+    for (_, _, lengths, _), start, ids in zip(blocks, starts, decoded):
+        ends = np.cumsum(lengths.astype(np.int64))
+        first.append(start + ends - lengths)
+        raw = memoryview(ids.tobytes())
+        documents = [raw[(e - n) * width : e * width] for e, n in zip(ends.tolist(), lengths.tolist())]
+        crcs += [zlib.crc32(x) for x in documents]
+        if with_ids:
+            each += [bytes(x) for x in documents]
+    known, doc_ids, lengths = [np.concatenate([block[i] for block in blocks]) for i in range(3)]
+    columns = [
+        pa.array(doc_ids, pa.int64(), mask=known == 0),
+        pa.array(np.concatenate(first)),
+        pa.array(lengths.astype(np.int64)),
+        pa.array(crcs, pa.int64()),
+    ]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if with_ids:
+        columns, names = [*columns, pa.array(each, pa.binary())], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(columns, names)

@@ -69,6 +69,27 @@ def test_block_round_trip(n):
     assert (huffman.decode_ids(n, checkpoints, words, huffman.decoding_table(lengths)) == ids).all()
 
 
+@pytest.mark.parametrize("size_bits", [5, 16])  # entries of 32 and of 64 bits
+def test_blocks_are_decoded_side_by_side(size_bits, monkeypatch):
+    monkeypatch.setattr(huffman, "_SIZE_BITS", size_bits)
+    draw = np.random.default_rng(size_bits)
+    blocks = [np.minimum(draw.zipf(1.2, n), 70_000).astype("<u4") for n in (300, 0, 1, 128, 5000, 129)]
+    lengths = huffman.code_lengths(np.bincount(np.concatenate(blocks), minlength=70_001))
+    codes, table = huffman.canonical_codes(lengths), huffman.decoding_table(lengths)
+    coded = [(len(ids), *huffman.encode_ids(ids, lengths, codes)) for ids in blocks]
+    assert [x.tolist() for x in huffman.decode_blocks(coded, table)] == [x.tolist() for x in blocks]
+    assert [x.tolist() for x in huffman.decode_blocks(coded[1:2], table)] == [[]]
+
+
+def test_id_counts_come_with_the_blocks(odd, nothing, library, monkeypatch):
+    monkeypatch.setattr(huffman, "BLOCK_IDS", 50)
+    counts = huffman.id_counts(huffman.id_blocks(odd))
+    expected = Counter(x for r in odd.collect() for x in ids_of(library, r.text))
+    assert {r.id: r.n for r in counts.collect()} == expected
+    assert "InArrow" not in counts._jdf.queryExecution().toString()  # the ids are not read again
+    assert huffman.id_counts(huffman.id_blocks(nothing)).collect() == []
+
+
 def expected_files(library, rows):
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
